@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import conversations, encoding, lookalike, tokens
+from chatterloom.llm import aliases, conversations, encoding, lookalike, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,8 @@ def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return aliases.aliases_found(table(spark, sf, "messages"), table(spark, sf, "pairs"))
