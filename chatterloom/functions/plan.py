@@ -14,3 +14,17 @@ def bind(df: DataFrame, **cols: Column) -> DataFrame:
     between them keeps every value single and the generated code small.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint.
+
+    The folder is the session's ``spark.checkpoint.dir``, which a cluster names and all
+    executors share; where it is unset (tests, a single machine) a folder in the warehouse is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
