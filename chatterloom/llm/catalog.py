@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import aliases, conversations, encoding, lookalike, tokens
+from chatterloom.llm import aliases, conversations, encoding, lookalike, privacy, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,13 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return aliases.aliases_found(table(spark, sf, "messages"), table(spark, sf, "pairs"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.personal_found(table(spark, sf, "messages"), table(spark, sf, "pairs"))
+
+
+@query("p1_redacted")
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.scan(table(spark, sf, "messages"), "msg_id", "text").select("msg_id", "clean")

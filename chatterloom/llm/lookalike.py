@@ -115,7 +115,21 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     t = _base(text)
-    return t if t.isascii() else _WORD.sub(_one_script, t)
+    if t.isascii():
+        return t
+    t = _WORD.sub(_one_script, t)
+    # words wholly of look-alikes go with the script of the rest of the text
+    latin = sum(c < "\u0250" and c.isalpha() for c in t)
+    alien = sum(_script(c) in ("greek", "cyrillic") and c not in LOOKALIKE for c in unicodedata.normalize("NFD", t))
+    return _WORD.sub(_latinised, t) if latin > 2 * alien else t
+
+
+def _latinised(m: re.Match[str]) -> str:
+    word = unicodedata.normalize("NFD", m.group(0))
+    letters = [c for c in word if c.isalpha()]
+    if any(_script(c) in ("greek", "cyrillic") for c in letters) and all(c in LOOKALIKE or c < "\u0250" for c in letters):
+        return unicodedata.normalize("NFC", word.translate(_MAP))
+    return m.group(0)
 
 
 def _vector(fn):
