@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import aliases, conversations, encoding, lookalike, privacy, tokens
+from chatterloom.llm import aliases, conversations, encoding, lookalike, packing, privacy, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p1_redacted")
 def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.scan(table(spark, sf, "messages"), "msg_id", "text").select("msg_id", "clean")
+
+
+@query("p9_pack")
+def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in containers of each ``pack`` capacity; the first line of a transcript bears no loss."""
+    docs = table(spark, sf, "documents")
+    caps = [(r.limit_id, r.max_tokens) for r in table(spark, sf, "limits").where("purpose = 'pack'").collect()]
+    first = F.when(F.col("kind") == "transcript", F.substring_index("text", "\n", 1)).otherwise(F.lit(""))
+    sized = docs.select("doc_id", tokens.count_of(F.col("text")).cast("bigint").alias("n_tokens"), tokens.count_of(first).cast("bigint").alias("n_free"))
+    items = sized.select("doc_id", "n_tokens", F.greatest(F.col("n_tokens") - F.col("n_free"), F.lit(0)).alias("n_loss"))
+    return packing.pack(items, caps, docs.count())
+
+
+@query("p10_split")
+def p10_split(spark: SparkSession, sf: str) -> DataFrame:
+    limits = [(r.limit_id, r.max_tokens, r.overlap_tokens) for r in table(spark, sf, "limits").where("purpose = 'split'").collect()]
+    return splitting.split_corpus(table(spark, sf, "documents"), limits)
