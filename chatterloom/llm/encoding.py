@@ -204,9 +204,11 @@ def _mixed(word: str) -> float:
 
 def cost(text: str) -> float:
     """Implausibility of a text as something a person wrote; 0 for plain text."""
-    if text.isascii():
-        return 0.02 * len(text)
     total = 0.02 * len(text)
+    if ("&" in text or "\\u" in text or "%" in text or "=" in text) and "://" not in text:
+        total += 1.2 * len(_ESCAPE.findall(text))
+    if text.isascii():
+        return total
     for pattern, weight in _COSTS:
         for m in pattern.finditer(text):
             total += weight if weight is not None else 0.7 * len(m.group(0))

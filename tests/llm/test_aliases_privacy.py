@@ -1,0 +1,87 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from chatterloom.llm import aliases, crf, privacy
+
+SAME = [
+    ["Małgorzata Klenízemey", "Gosia Klenízemey", "KLENÍZEMEY, Małgorzata", "malgorzata.klenizemey", "M. Klenízemey", "Klenízemey M.", "Dr Małgorzata Klenízemey",
+     "MałgorzataKlenízemey", "Małgorzata Klenízmeey", "Małgorzata K. Klenízemey 🌻", "Małgorzata Klenízemey - new number", "MaÅ‚gorzata KlenÃ\xadzemey", "Мałgorzata Klenízemey"],
+    ["Archibald Klenízemey", "Archie Klenízemey"],
+    ["Marrowgate Allotment Society", "marrowgate allotment society", "The Marrowgate Allotment Society", "Marrowgate Allotment Society Ltd", "Allotment Society Marrowgate", "Marowgate Allotment Society"],
+    ["Gofakevey Community Choir", "Gofakevey Comm. Choir"],
+    ["José Daloseney"], ["Joseph Daloseney"], ["😂"], ["Victoria Lozivasan"], ["Michael Lozivasan"],
+]
+
+
+def test_links(spark):
+    rows = [(x, 50 if i == 0 else 3) for g in SAME for i, x in enumerate(g)]
+    rows += [(f"{g} Drob{s}ov", 5) for g in ("José", "Joseph") for s in ("eva", "uni", "iso", "oka", "amu")]
+    got = {r.name: r.entity for r in aliases.link(spark.createDataFrame(rows, "name string, n long")).collect()}
+    assert len(got) == len(rows)
+    for g in SAME:
+        assert len({got[x] for x in g}) == 1, [(x, got[x]) for x in g]
+    assert len({got[g[0]] for g in SAME}) == len(SAME)
+
+
+def test_found_pairs_and_empty(spark):
+    m = spark.createDataFrame([("Ann Lee", "x"), ("Lee, Ann", "x"), (None, "x"), ("", "x"), ("Ann Lee", "x")], "sender string, name string")
+    p = spark.createDataFrame([("A. Lee",), (None,)], "who string")
+    got = sorted(map(tuple, aliases.aliases_found(m, p).collect()))
+    assert got == [("A. Lee", "Ann Lee"), ("A. Lee", "Lee, Ann"), ("Ann Lee", "Lee, Ann")]
+    assert aliases.aliases_found(m.where("false"), p.where("false")).count() == 0
+
+
+def test_typo():
+    assert all(aliases.one_typo("stekivulund", x) for x in ("stekivulund", "stekivlund", "setkivulund", "stekivulumd", "stekivuulund"))
+    assert not aliases.one_typo("stekivulund", "stkeivlund") and not aliases.one_typo("ab", "b")
+
+
+def brute_marginals(e, trans, edges, psi):
+    t = len(e)
+    out, z = np.zeros_like(e), 0.0
+    for y in itertools.product(range(crf.L), repeat=t):
+        s = sum(e[i, y[i]] for i in range(t)) + sum(trans[a, b] for a, b in zip(y, y[1:])) + sum(psi for i, j in edges if y[i] == y[j] != 0)
+        for i in range(t):
+            out[i, y[i]] += np.exp(s)
+        z += np.exp(s)
+    return out / z
+
+
+def test_chain_is_exact_and_skip_edges_come_close():
+    rng = np.random.default_rng(0)
+    trans, e = rng.normal(size=(crf.L, crf.L)), rng.normal(size=(5, crf.L))
+    mask = np.ones((1, 5), dtype=bool)
+    assert np.allclose(np.exp(crf.chain(e[None], mask, trans)[3][0]), brute_marginals(e, trans, [], 0))
+    model = crf.Model({}, trans * 0.3, 0.8)
+    doc = ["Alpha", "x", "y", "z", "Alpha"]
+    got = crf._batch(model, [doc], [[""] * 5], [e])[0]
+    assert np.abs(got - brute_marginals(e, trans * 0.3, [(0, 4)], 0.8)).max() < 0.03
+
+
+CASES = [
+    ("is Renée coming", ["name"]),
+    ("mail me at ann.lee (at) quillmail (dot) test pls", ["email"]),
+    ("call me on 0 7 7 0 0 9 0 0 4 3 5", ["phone"]),
+    ("keep this safe SSN: 919-25-3444", ["id_number"]),
+    ("taxi to PO Box 227, Tolverton please", ["address"]),
+    ("order 4471-2093 with the cello has shipped to Pellby", []),
+    ("meet at The Tin Lantern saturday, build 2.14.3 i reckon", []),
+    ("ｃａｌｌ ｍｅ ｏｎ ０７７００ ９００ ８１３", ["phone"]),
+]
+
+
+@pytest.mark.parametrize("text, kinds", CASES)
+def test_kinds(spark, text, kinds):
+    (r,) = privacy.scan(spark.createDataFrame([(1, text, "z")], "k long, t string, clean string"), "k", "t").collect()
+    assert r.kinds == kinds
+    assert all(privacy.PLACEHOLDER[k] in r.clean for k in kinds)
+
+
+def test_edges(spark):
+    long = "the bus is late. " * 4000 + "call me on 07700 900 813"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "​"), (4, long), (4, long)], "k long, t string")
+    got = [(r.k, r.kinds, r.clean if r.clean is None or len(r.clean) < 9 else "…") for r in privacy.scan(df, "k", "t").collect()]
+    assert sorted(got, key=str) == sorted([(1, [], None), (2, [], ""), (3, [], ""), (4, ["phone"], "…"), (4, ["phone"], "…")], key=str)
+    assert privacy.scan(df.where("false"), "k", "t").count() == 0
