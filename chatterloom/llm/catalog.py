@@ -86,8 +86,9 @@ def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     caps = [(r.limit_id, r.max_tokens) for r in table(spark, sf, "limits").where("purpose = 'pack'").collect()]
     first = F.when(F.col("kind") == "transcript", F.substring_index("text", "\n", 1)).otherwise(F.lit(""))
-    sized = docs.select("doc_id", tokens.count_of(F.col("text")).cast("bigint").alias("n_tokens"), tokens.count_of(first).cast("bigint").alias("n_free"))
-    items = sized.select("doc_id", "n_tokens", F.greatest(F.col("n_tokens") - F.col("n_free"), F.lit(0)).alias("n_loss"))
+    sized = docs.select("doc_id", tokens.counts_of([F.col("text"), first]).alias("n"))
+    whole, free = F.col("n")[0].cast("bigint"), F.col("n")[1].cast("bigint")
+    items = sized.select("doc_id", whole.alias("n_tokens"), F.greatest(whole - free, F.lit(0).cast("bigint")).alias("n_loss"))
     return packing.pack(items, caps, docs.count())
 
 

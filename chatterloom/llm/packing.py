@@ -38,27 +38,47 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     kinds, inverse = np.unique(sizes, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
     order = np.argsort(inverse, kind="stable")
-    ends = np.cumsum(np.bincount(inverse, minlength=len(kinds)))
-    starts = np.concatenate([[0], ends[:-1]])
-    next_of, left = starts.copy(), ends - starts
-    scaled = kinds / limits
-    alive, box, remaining = np.flatnonzero(left), 0, len(sizes)
+    left = np.bincount(inverse, minlength=len(kinds))
+    next_of = np.concatenate([[0], np.cumsum(left)[:-1]])
+    ids = np.arange(len(kinds))
+    dims = range(sizes.shape[1])
+
+    def live() -> tuple:
+        keep = ids[left[ids] > 0]
+        cols = [np.ascontiguousarray(kinds[keep, d]) for d in dims]
+        return keep, cols, [c / limits[d] for d, c in enumerate(cols)], [c.max(initial=0) for c in cols], np.zeros(len(keep))
+
+    ids, cols, scaled, most, gone = live()
+    box, remaining, dead = 0, len(sizes), 0
     while remaining:
-        room = limits.astype(float).copy()
+        room = [int(x) for x in limits]
         while True:
-            fits = alive[(kinds[alive] <= room).all(axis=1)]
-            if not len(fits):
+            # kinds are sorted by their first size: only a stretch from the start can fit
+            p = int(np.searchsorted(cols[0], room[0], side="right"))
+            if not p:
                 break
-            k = fits[np.argmax(scaled[fits] @ (room / limits))]
-            # as many of this kind as the room takes while it stays the best choice is one at a time
-            out[order[next_of[k]]] = box
-            next_of[k] += 1
-            left[k] -= 1
+            score = scaled[0][:p] * (room[0] / limits[0]) + gone[:p]
+            for d in dims[1:]:
+                score += scaled[d][:p] * (room[d] / limits[d])
+                if most[d] > room[d]:
+                    score[cols[d][:p] > room[d]] = -1.0
+            k = int(score.argmax())
+            if score[k] < 0:
+                break
+            kind = ids[k]
+            out[order[next_of[kind]]] = box
+            next_of[kind] += 1
+            left[kind] -= 1
             remaining -= 1
-            room -= kinds[k]
-            if not left[k]:
-                alive = alive[alive != k]
+            for d in dims:
+                room[d] -= int(cols[d][k])
+            if not left[kind]:
+                gone[k] = -10.0
+                dead += 1
         box += 1
+        if dead > 64 and 4 * dead > len(ids):
+            ids, cols, scaled, most, gone = live()
+            dead = 0
     return out
 
 
@@ -74,26 +94,27 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], n_items: int) -> D
     groups = max(1, -(-n_items // GROUP))
     caps = F.array(*[F.struct(F.lit(i).alias("limit_id"), F.lit(c).cast("bigint").alias("cap")) for i, c in capacities])
     each = items.where("n_tokens > 0").select("doc_id", "n_tokens", F.coalesce("n_loss", "n_tokens").alias("n_loss"), F.explode(caps).alias("c"))
-    each = each.select("doc_id", "n_tokens", "n_loss", "c.*")
-    full = F.floor(F.col("n_tokens") / F.col("cap"))
-    whole = each.where(full > 0).select(
-        "limit_id", "doc_id", "cap", F.explode(F.sequence(F.lit(0), full.cast("int") - 1)).alias("piece")
-    )
-    whole = whole.select(
-        "limit_id", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece",
-        (F.col("piece") * F.col("cap")).alias("start"), F.col("cap").alias("n_tokens"),
-    )
-    rest = each.withColumn("tail", F.col("n_tokens") % F.col("cap")).where("tail > 0").select(
-        "limit_id", "doc_id", "cap", full.cast("int").alias("piece"), (full * F.col("cap")).alias("start"), F.col("tail").alias("n_tokens"),
-        F.least(F.col("n_loss"), F.col("tail")).alias("n_loss"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"),
+    # one row a piece: full stretches of an oversized item and its rest, or the item itself
+    cap = F.col("c.cap")
+    pieces = F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / cap) - 1).cast("int"))
+    each = each.select("c.limit_id", cap.alias("cap"), "doc_id", "n_tokens", "n_loss", F.explode(pieces).alias("piece"))
+    size = F.least(F.col("n_tokens") - F.col("piece") * F.col("cap"), F.col("cap"))
+    rest = each.select(
+        "limit_id", "cap", "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("start"), size.alias("n_tokens"),
+        F.least(F.col("n_loss"), size).alias("n_loss"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"),
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "n_tokens"], kind="stable").reset_index(drop=True)
-        cap = int(pdf["cap"].iloc[0])
-        sizes = np.stack([pdf["n_tokens"], np.ones(len(pdf), dtype=np.int64), pdf["n_loss"]], axis=1).astype(np.int64)
-        limits = np.array([cap, max(1, cap * SEGMENTS_PER_1024 // 1024), max(1, int(cap * LOSS_SHARE))], dtype=np.int64)
-        pdf["container"] = f"{pdf['g'].iloc[0]}-" + pd.Series(fill(sizes, limits)).astype(str)
+        cap, g = int(pdf["cap"].iloc[0]), pdf["g"].iloc[0]
+        full = (pdf["n_tokens"] == cap).to_numpy()
+        part = pdf[~full]
+        sizes = np.stack([part["n_tokens"], part["n_loss"], np.ones(len(part), dtype=np.int64)], axis=1).astype(np.int64)
+        limits = np.array([cap, max(1, int(cap * LOSS_SHARE)), max(1, cap * SEGMENTS_PER_1024 // 1024)], dtype=np.int64)
+        box = np.empty(len(pdf), dtype=np.int64)
+        box[~full] = fill(sizes, limits)
+        box[full] = np.arange(full.sum()) + (box[~full].max(initial=-1) + 1)
+        pdf["container"] = f"{g}-" + pd.Series(box).astype(str)
         return pdf[["limit_id", "container", "doc_id", "piece", "start", "n_tokens"]]
 
-    return rest.groupBy("limit_id", "g").applyInPandas(run, SCHEMA).unionByName(whole)
+    return rest.groupBy("limit_id", "g").applyInPandas(run, SCHEMA)
