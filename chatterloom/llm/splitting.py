@@ -16,37 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from chatterloom.llm.tokens import default_ranks, encode, encoder
+from chatterloom.llm.tokens import byte_lengths, default_ranks, encode_array
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SENTENCE = ("。", "！", "？", "｡", "…")
-_CLAUSE = ("，", "、", "；", "：")
 
 
-def strengths(raw: bytes, offsets: np.ndarray) -> np.ndarray:
-    """Strength of the boundary in front of each token: 5 paragraph, 4 line, 3 sentence, 2 clause,
-    1 word, 0 character, -1 inside a character."""
+def _flags(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(chars)] = True
+    return table
+
+
+_SPACE, _STOP, _PAUSE = _flags(b"\t\n\x0b\x0c\r "), _flags(b".!?"), _flags(b",;:)")
+#: Sentence ends and pauses of other scripts, by their three UTF-8 bytes as one number.
+_WIDE_STOP = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "。！？｡…"))
+_WIDE_PAUSE = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "，、；："))
+
+
+def strengths(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """Strength of the boundary in front of each byte offset: 5 paragraph, 4 line, 3 sentence,
+    2 clause, 1 word, 0 character, -1 inside a character."""
     b = np.frombuffer(raw, dtype=np.uint8)
-    at = offsets
-    prev = b[np.maximum(at - 1, 0)]
+    prev, cur = b[np.maximum(at - 1, 0)], b[np.minimum(at, len(b) - 1)]
     prev2 = b[np.maximum(at - 2, 0)]
-    prev3 = b[np.maximum(at - 3, 0)]
-    cur = b[np.minimum(at, len(b) - 1)]
-    out = np.where((cur & 0xC0) == 0x80, -1, 0)
-    word = _SPACE[cur] | _SPACE[prev]
-    out[word & (out == 0)] = 1
-    last = np.where(_SPACE[prev], prev2, prev)
-    gap = _SPACE[cur] | _SPACE[prev]
-    out[gap & np.isin(last, list(b",;:)")) & (out >= 0)] = 2
-    wide = (prev3.astype(np.int64) << 16) | (prev2.astype(np.int64) << 8) | prev
-    code = lambda chars: [int.from_bytes(c.encode(), "big") for c in chars]
-    out[np.isin(wide, code(_CLAUSE)) & (out >= 0)] = 2
-    out[gap & np.isin(last, list(b".!?")) & (out >= 0)] = 3
-    out[np.isin(wide, code(_SENTENCE)) & (out >= 0)] = 3
-    nl = (prev == 10) | (prev == 13)
-    out[nl & (out >= 0) & ~((prev == 13) & (cur == 10))] = 4
-    out[(prev == 10) & ((prev2 == 10) | ((prev2 == 13) & (prev3 == 10))) & (out >= 0)] = 5
+    blank = _SPACE[prev]
+    gap = blank | _SPACE[cur]
+    out = gap.astype(np.int8)
+    last = np.where(blank, prev2, prev)
+    out[gap & _PAUSE[last]] = 2
+    out[gap & _STOP[last]] = 3
+    wide = np.flatnonzero(prev >= 0x80)
+    if len(wide):
+        code = (b[np.maximum(at[wide] - 3, 0)].astype(np.int64) << 16) | (prev2[wide].astype(np.int64) << 8) | prev[wide]
+        out[wide[np.isin(code, _WIDE_PAUSE)]] = 2
+        out[wide[np.isin(code, _WIDE_STOP)]] = 3
+    line = np.flatnonzero((prev == 10) | ((prev == 13) & (cur != 10)))
+    out[line] = 4
+    before = prev2[line]
+    third = b[np.maximum(at[line] - 3, 0)]
+    out[line[(prev[line] == 10) & ((before == 10) | ((before == 13) & (third == 10)))]] = 5
+    out[(cur & 0xC0) == 0x80] = -1
     return out
 
 
@@ -60,10 +68,10 @@ def bisect(n: int, core: int, strength: np.ndarray) -> list[int]:
         quarter = (b - a) // 4
         lo, hi = max(a + 1, a + quarter), min(b - 1, b - quarter)
         mid = (a + b) // 2
-        pos = np.arange(lo, hi + 1)
         s = strength[lo : hi + 1]
         # the strongest, then the nearest to the midpoint, then the earlier
-        best = pos[np.lexsort((pos, np.abs(pos - mid), -s))[0]]
+        top = np.flatnonzero(s == s.max()) + lo
+        best = top[np.abs(top - mid).argmin()]
         cuts.append(int(best))
         stack += [(a, int(best)), (int(best), b)]
     return sorted(cuts)
@@ -75,22 +83,31 @@ def split(text: str | None, limit: int, overlap: int, path: str) -> list[tuple[i
     ``start`` counts tokens of the whole text. Where an overlap starts inside a character, the
     piece's text leaves that character out (its ids still share the full overlap).
     """
-    if limit < 1:
-        raise ValueError("the limit must be positive")
-    overlap = max(0, min(overlap, limit - 1))
-    ids = encode(text, path)
-    if len(ids) <= limit:
+    return [p[1:] for p in split_all(text, [(0, limit, overlap)], path)]
+
+
+def split_all(text: str | None, limits: list[tuple[int, int, int]], path: str) -> list[tuple[int, int, int, int, str]]:
+    """``(limit_id, piece, start, n_tokens, text)`` for each limit; the text is encoded once."""
+    if any(m < 1 for _, m, _ in limits):
+        raise ValueError("a limit must be positive")
+    if not text or not limits:
         return []
-    parts = encoder(path).decode_tokens_bytes(ids)
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    raw = b"".join(parts)
-    cuts = bisect(len(ids), limit - overlap, strengths(raw, offsets[:-1]))
-    edges = [0, *cuts, len(ids)]
-    out = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        start = max(0, a - overlap) if k else 0
-        body = raw[offsets[start] : offsets[b]]
-        out.append((k, start, b - start, body.decode("utf-8", errors="ignore")))
+    ids = encode_array(text, path)
+    n = len(ids)
+    if n <= min(m for _, m, _ in limits):
+        return []
+    raw = text.encode("utf-8")
+    offsets = np.concatenate([[0], np.cumsum(byte_lengths(path)[ids])])
+    strength = strengths(raw, offsets[:-1])
+    at, out = offsets.tolist(), []
+    for i, limit, overlap in limits:
+        if n <= limit:
+            continue
+        overlap = max(0, min(overlap, limit - 1))
+        edges = [0, *bisect(n, limit - overlap, strength), n]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            start = max(0, a - overlap) if k else 0
+            out.append((i, k, start, b - start, raw[at[start] : at[b]].decode("utf-8", errors="ignore")))
     return out
 
 
@@ -107,7 +124,7 @@ def split_corpus(documents: DataFrame, limits: list[tuple[int, int, int]], key:
 
     @F.pandas_udf(ArrayType(_PIECE))
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: [(i, *p) for i, m, o in limits for p in split(v, m, o, where)] if v else [])
+        return values.map(lambda v: split_all(v, limits, where))
 
     # a token is at least one byte: shorter texts cannot exceed the smallest limit
     least = min((m for _, m, _ in limits), default=0)

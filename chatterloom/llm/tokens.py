@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,21 @@ def encode(text: str | None, path: str) -> list[int]:
     return [i for p in pieces(text) for i in enc.encode_ordinary(p)]
 
 
+def encode_array(text: str, path: str) -> np.ndarray:
+    """As :func:`encode`, as an array."""
+    enc = encoder(path)
+    if len(text) <= CHUNK:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    return np.concatenate([enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text)])
+
+
+@lru_cache(maxsize=4)
+def byte_lengths(path: str) -> np.ndarray:
+    """Bytes of each id."""
+    enc = encoder(path)
+    return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.max_token_value + 1)], dtype=np.int64)
+
+
 def decode(ids: Iterable[int], path: str) -> str:
     return encoder(path).decode_bytes(list(ids)).decode("utf-8", errors="replace")
 
@@ -88,7 +104,7 @@ def count_of(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf(IntegerType())
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: len(encode(v, where))).astype("int32")
+        return values.map(lambda v: len(encode_array(v, where)) if v else 0).astype("int32")
 
     return run(text)
 
@@ -99,7 +115,7 @@ def counts_of(texts: list[Column], path: str | None = None) -> Column:
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([[len(encode(v, where)) for v in row] for row in zip(*columns)])
+        return pd.Series([[len(encode_array(v, where)) if v else 0 for v in row] for row in zip(*columns)])
 
     return run(*texts)
 
