@@ -28,3 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than there are cores.
+
+    For costly per-row Python work on small or unsplittable files; an input that already
+    fills the cluster is left as it is and pays no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

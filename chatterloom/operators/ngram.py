@@ -193,6 +193,8 @@ def complete(model: Model, queries: DataFrame, max_words: int = 8) -> DataFrame:
     A word never repeats either of the last two and is used twice at most; an end mark stops,
     but not at the first word. Each round is cut from its lineage by a checkpoint.
     """
+    kept = model.cached()  # read in every round; lost parts are computed again
+    model = kept
     state = resolve(model, queries).select(
         "q_id", "text", "context", "prefix", F.array().cast("array<string>").alias("made"), F.lit(False).alias("done")
     )
@@ -232,7 +234,10 @@ def complete(model: Model, queries: DataFrame, max_words: int = 8) -> DataFrame:
     whole = detokenize(F.col("shown"))
     spaced = (F.col("text") != "") & ~F.col("text").rlike(f"[{WS}]$") & ~F.substring(whole, 1, 1).isin(*CLOSING)
     text = F.when(F.size("made") == 0, "").when(F.col("prefix") != "", grown).otherwise(F.when(spaced, F.concat(F.lit(" "), whole)).otherwise(whole))
-    return shown.select("q_id", text.alias("completion"))
+    done = checkpointed(shown.select("q_id", text.alias("completion")))
+    for t in (kept.counts, kept.totals, kept.unigrams, kept.surface):
+        t.unpersist()
+    return done
 
 
 def _displayed(model: Model, state: DataFrame) -> DataFrame:
