@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from chatterloom.functions.plan import spread
 from chatterloom.llm.tokens import byte_lengths, default_ranks, encode_array
 
 
@@ -122,11 +123,13 @@ def split_corpus(documents: DataFrame, limits: list[tuple[int, int, int]], key:
     """
     where = path or default_ranks()
 
+    # non-deterministic to the optimizer: else a filter on its result is pushed below and runs it twice
     @F.pandas_udf(ArrayType(_PIECE))
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: split_all(v, limits, where))
 
     # a token is at least one byte: shorter texts cannot exceed the smallest limit
     least = min((m for _, m, _ in limits), default=0)
-    big = documents.where(F.octet_length(F.col(text)) > least) if limits else documents.where("false")
-    return big.select(F.col(key), F.explode(run(F.col(text))).alias("p")).select("p.limit_id", key, "p.piece", "p.start", "p.n_tokens", "p.text")
+    slim = documents.select(key, text)
+    big = slim.where(F.octet_length(F.col(text)) > least) if limits else slim.where("false")
+    return spread(big).select(F.col(key), F.explode(run.asNondeterministic()(F.col(text))).alias("p")).select("p.limit_id", key, "p.piece", "p.start", "p.n_tokens", "p.text")
