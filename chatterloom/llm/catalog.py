@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterloom.functions.plan import spread
 from chatterloom.llm import aliases, conversations, encoding, lookalike, packing, privacy, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,7 @@ def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     caps = [(r.limit_id, r.max_tokens) for r in table(spark, sf, "limits").where("purpose = 'pack'").collect()]
     first = F.when(F.col("kind") == "transcript", F.substring_index("text", "\n", 1)).otherwise(F.lit(""))
-    sized = docs.select("doc_id", tokens.counts_of([F.col("text"), first]).alias("n"))
+    sized = spread(docs.select("doc_id", "text", "kind")).select("doc_id", tokens.counts_of([F.col("text"), first]).alias("n"))
     whole, free = F.col("n")[0].cast("bigint"), F.col("n")[1].cast("bigint")
     items = sized.select("doc_id", whole.alias("n_tokens"), F.greatest(whole - free, F.lit(0).cast("bigint")).alias("n_loss"))
     return packing.pack(items, caps, docs.count())

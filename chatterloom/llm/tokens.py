@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from chatterloom.functions.plan import spread
+
 #: Pre-splitting pattern of the byte-level vocabularies (fixed value of the tokenizer).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text encoded at once.
@@ -106,7 +108,7 @@ def count_of(text: Column, path: str | None = None) -> Column:
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: len(encode_array(v, where)) if v else 0).astype("int32")
 
-    return run(text)
+    return run.asNondeterministic()(text)  # or filters on the count would run it twice
 
 
 def counts_of(texts: list[Column], path: str | None = None) -> Column:
@@ -117,9 +119,9 @@ def counts_of(texts: list[Column], path: str | None = None) -> Column:
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([[len(encode_array(v, where)) if v else 0 for v in row] for row in zip(*columns)])
 
-    return run(*texts)
+    return run.asNondeterministic()(*texts)  # or filters on the counts would run it twice
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``key, ids`` of every row: repeated rows and keys are kept, nulls give an empty list."""
-    return documents.select(F.col(key), ids_of(F.col(text), path).alias("ids"))
+    return spread(documents.select(key, text)).select(F.col(key), ids_of(F.col(text), path).alias("ids"))
