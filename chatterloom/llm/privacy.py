@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from chatterloom.functions.plan import spread
 from chatterloom.llm.crf import LABELS, TOKEN, Model, marginals
 from chatterloom.llm.encoding import restore
 from chatterloom.llm.lookalike import canonical
@@ -113,6 +114,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+# non-deterministic to the optimizer: else a filter on its result is pushed below and runs it twice
 @F.pandas_udf(StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))]))
 def _scan_udf(values: pd.Series) -> pd.DataFrame:
     known = [v for v in dict.fromkeys(values) if v]
@@ -122,6 +124,9 @@ def _scan_udf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([done.get(v, (v, [])) for v in values], columns=["clean", "kinds"])
 
 
+_scan_udf = _scan_udf.asNondeterministic()
+
+
 def scan(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key, clean, kinds``: each text with placeholders and the kinds found in it.
 
@@ -136,7 +141,7 @@ def personal_found(messages: DataFrame, pairs: DataFrame) -> DataFrame:
     """``src, rec_id, kind``: every stored record and kind of personal data in it."""
 
     def one(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
-        hit = scan(df.where(F.col(text).isNotNull()), key, text)
+        hit = scan(spread(df.select(key, text).where(F.col(text).isNotNull())), key, text)
         return hit.select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), F.explode("kinds").alias("kind"))
 
     return one(messages, "messages", "msg_id", "text").unionByName(one(pairs, "pairs", "pair_id", "reply"))
