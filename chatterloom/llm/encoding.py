@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from chatterloom.functions.plan import spread
 from chatterloom.llm.lookalike import LOOKALIKE, strip_invisible
 
 #: Any character outside ASCII, or an escape: what a garbled value must contain.
@@ -254,6 +255,7 @@ def strip_soft(text: str) -> str:
     return re.sub("[\u200b-\u200f\u2060-\u2064\ufeff]", "", text) if any(c in text for c in "\u200b\u200c\u200e\u200f\u2060\u2063\ufeff") else text
 
 
+# non-deterministic to the optimizer: else a filter on its result is pushed below and runs it twice
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("garbled", BooleanType())]))
 def _restore_udf(values: pd.Series) -> pd.DataFrame:
     known: dict[str, tuple[str | None, bool]] = {None: (None, False)}
@@ -261,6 +263,9 @@ def _restore_udf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "garbled"])
 
 
+_restore_udf = _restore_udf.asNondeterministic()
+
+
 def with_restored(df: DataFrame, value: str, out: str, flag: str) -> DataFrame:
     """``df`` with the restored text in ``out`` and whether ``value`` was garbled in ``flag``.
 
@@ -277,7 +282,8 @@ def garbled_found(messages: DataFrame) -> DataFrame:
 
     Senders repeat, so they are searched once per distinct value and joined back.
     """
-    texts = with_restored(messages.select("msg_id", "text").where(F.col("text").rlike(SUSPICIOUS)), "text", "original", "g")
+    texts = spread(messages.select("msg_id", "text").where(F.col("text").rlike(SUSPICIOUS)))
+    texts = with_restored(texts, "text", "original", "g")
     texts = texts.where("g").select("msg_id", F.lit("text").alias("field"), "original")
     senders = messages.select("msg_id", "sender").where(F.col("sender").rlike(SUSPICIOUS))
     distinct = with_restored(senders.select(F.col("sender").alias("s")).distinct(), "s", "original", "g").where("g")
