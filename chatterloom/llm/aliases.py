@@ -201,6 +201,9 @@ def _likelihood_udf(a: pd.Series, ai: pd.Series, b: pd.Series, bi: pd.Series) ->
     return pd.DataFrame(out, columns=["ll", "x", "y"])
 
 
+_likelihood_udf = _likelihood_udf.asNondeterministic()  # or its filter would run it twice
+
+
 def _keys(parts: list[str], initial: str | None) -> list[str]:
     """Blocking keys; two classes one change apart share at least one."""
     out = set()
@@ -230,6 +233,9 @@ def _keys_udf(parts: pd.Series, initial: pd.Series) -> pd.Series:
     return pd.Series([_keys(list(p), i) for p, i in zip(parts, initial)])
 
 
+_keys_udf = _keys_udf.asNondeterministic()  # or the filter of the explode would run it twice
+
+
 def link(labels: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
     """``name, entity`` of every distinct label; labels of one entity share ``entity``.
 
