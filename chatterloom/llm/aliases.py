@@ -28,7 +28,7 @@ from chatterloom.llm.encoding import restore
 from chatterloom.llm.lookalike import skeleton
 
 #: Words before a name that are not part of it (fixed values).
-TITLES = set("dr prof professor mr mrs ms miss mx sir coach frau herr señor señora senor senora sr sra dona don mme mlle monsieur madame pan pani bay hanim the".split())
+TITLES = set("dr prof professor mr mrs ms miss mx sir coach frau herr señor señora senor senora sr sra dona mme mlle monsieur madame pani hanim the".split())
 #: Legal forms and decorations of organisations (fixed values).
 LEGAL = set("ltd limited gmbh inc co company plc llc ag sa srl team official and".split())
 #: Kinds of organisation, which abbreviations stand for (fixed values).
@@ -68,7 +68,7 @@ LOG_TYPO, LOG_INITIAL, LOG_NICK, LOG_DROP = math.log(0.02), math.log(0.1), math.
 LOG_CHANCE = math.log(1e-7)
 
 _SPECIAL = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ı": "i", "æ": "ae", "Æ": "Ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d"})
-_TAIL = re.compile(r"(?i)\s*(?:[-–]\s*new (?:number|phone)|\((?:work|team|home|new|mobile|old)\)|\b(?:official|team)|\s\d{1,3})\s*$")
+_TAIL = re.compile(r"(?i)\s*(?:[-–]\s*new (?:number|phone)|\((?:work|team|home|new|mobile|office|private|old)\)|\b(?:official|team)|\s\d{1,3})\s*$")
 _DROP = re.compile(r"[^\w\s.,&'’\-]|[\d_]")
 
 
@@ -108,7 +108,9 @@ def parse(label: str) -> tuple[list[str], str | None, bool]:
             bare = full[0]
         words.append(_expand(bare))
     if not words:
-        return sorted(x.casefold() for x in raw), None, False
+        digits = "".join(c for c in label if c.isdigit())
+        bare = sorted(initials) or (["#" + digits] if len(digits) > 5 else [label])
+        return bare, None, False
     nick = False
     if len(words) == 2 and not any(w in KINDS for w in words):
         named = [NICKNAMES.get(w, w) for w in words]
@@ -206,6 +208,8 @@ _likelihood_udf = _likelihood_udf.asNondeterministic()  # or its filter would ru
 
 def _keys(parts: list[str], initial: str | None) -> list[str]:
     """Blocking keys; two classes one change apart share at least one."""
+    if not any(c.isalpha() for p in parts for c in p):  # numbers and signs are themselves or nothing
+        return []
     out = set()
 
     def cut(w: str) -> list[str]:

@@ -11,7 +11,7 @@ SAME = [
     ["Archibald Klenízemey", "Archie Klenízemey"],
     ["Marrowgate Allotment Society", "marrowgate allotment society", "The Marrowgate Allotment Society", "Marrowgate Allotment Society Ltd", "Allotment Society Marrowgate", "Marowgate Allotment Society"],
     ["Gofakevey Community Choir", "Gofakevey Comm. Choir"],
-    ["José Daloseney"], ["Joseph Daloseney"], ["😂"], ["Victoria Lozivasan"], ["Michael Lozivasan"],
+    ["José Daloseney"], ["Joseph Daloseney"], ["😂"], ["🌻"], ["+44 7700 900123", "+447700900123"], ["+44 7700 900124"], ["\u200b"], ["Victoria Lozivasan"], ["Michael Lozivasan"],
 ]
 
 
