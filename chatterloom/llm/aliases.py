@@ -33,6 +33,8 @@ TITLES = set("dr prof professor mr mrs ms miss mx sir coach frau herr señor se
 LEGAL = set("ltd limited gmbh inc co company plc llc ag sa srl team official and".split())
 #: Kinds of organisation, which abbreviations stand for (fixed values).
 KINDS = "association bakery bookshop choir clinic club community cycling driving garage plumbing removals rowing school society swimming veterinary allotment services brothers university department committee college church hospital".split()
+#: Short words for kinds of organisation that no rule gives (fixed values).
+SHORT = {"vets": ["veterinary", "clinic"], "vet": ["veterinary", "clinic"], "swim": ["swimming"]}
 #: Nicknames and the names they stand for (fixed values).
 NICKNAMES = {
     "gosia": "malgorzata", "malgosia": "malgorzata", "clo": "chloe", "luki": "lukasz", "ling": "xiaoling", "penny": "penelope",
@@ -60,7 +62,7 @@ NICKNAMES = {
     "izzy": "isidora", "hans": "johannes", "joh": "johannes", "jo": "johannes", "cordy": "cordelia", "delia": "cordelia", "della": "cordelia",
     "q": "quentin", "quent": "quentin", "olu": "oluwaseun", "seun": "oluwaseun", "ola": "olamide", "mide": "olamide", "ola m": "olamide",
     "priya": "priyanka", "pri": "priyanka", "memo": "mehmet", "mem": "mehmet", "uschi": "ursula", "ursi": "ursula", "urs": "ursula",
-    "joca": "joao", "zezinho": "jose", "con": "conceicao", "sao": "conceicao", "nao": "noemie", "mimi": "noemie", "hiro": "hiroshi", "yuki": "yukiko", "kiko": "yukiko",
+    "joca": "joao", "zak": "zachary", "isi": "isidora", "stacy": "anastasia", "noe": "noemie", "fati": "fatima", "zezinho": "jose", "con": "conceicao", "sao": "conceicao", "nao": "noemie", "mimi": "noemie", "hiro": "hiroshi", "yuki": "yukiko", "kiko": "yukiko",
 }
 #: Log likelihoods of the changes the channel makes.
 LOG_TYPO, LOG_INITIAL, LOG_NICK, LOG_DROP = math.log(0.02), math.log(0.1), math.log(0.1), math.log(0.05)
@@ -104,9 +106,9 @@ def parse(label: str) -> tuple[list[str], str | None, bool]:
         if len(bare) == 1:
             initials.append(bare)
             continue
-        if dotted and (full := [k for k in KINDS if k.startswith(bare) and len(bare) >= 2]):
+        if dotted and bare not in SHORT and (full := [k for k in KINDS if k.startswith(bare) and len(bare) >= 2]):
             bare = full[0]
-        words.append(_expand(bare))
+        words += SHORT.get(bare) or [_expand(bare)]
     if not words:
         digits = "".join(c for c in label if c.isdigit())
         bare = sorted(initials) or (["#" + digits] if len(digits) > 5 else [label])
@@ -171,6 +173,9 @@ def likelihood(a: list[str], ai: str | None, b: list[str], bi: str | None) -> fl
             return LOG_NICK
         if shared_cut(x, y):
             return 2 * LOG_TYPO
+    for few, many in ((left, right), (right, left)):  # initials of the kinds: CC for Cycling Club
+        if len(few) == 1 < len(many) and all(w in KINDS for w in many) and sorted(few[0]) == sorted(w[0] for w in many):
+            return LOG_DROP
     if len(left) + len(right) == 1 and min(len(a), len(b)) >= 2 and (left + right)[0] in KINDS:
         return LOG_DROP
     return None
@@ -224,6 +229,12 @@ def _keys(parts: list[str], initial: str | None) -> list[str]:
             out.add(f"d|{rest}")
     if len(parts) >= 2 and any(w in KINDS for w in parts):
         out.add("d|" + " ".join(parts))
+    kinds = [w for w in parts if w in KINDS]
+    if len(kinds) > 1:
+        out.add(f"a|{''.join(sorted(w[0] for w in kinds))}|" + " ".join(w for w in parts if w not in KINDS))
+    for w in parts:
+        if len(w) in (2, 3) and not kinds:
+            out.add(f"a|{''.join(sorted(w))}|" + " ".join(x for x in parts if x != w))
     if len(parts) == 2:
         for s, g in (parts, parts[::-1]):
             out |= {f"i|{g[0]}|{c}" for c in cut(s)}

@@ -166,7 +166,7 @@ _COSTS = [
     (re.compile(f"(?<!\\S)[{_ACC}]{{2,}}(?!\\S)"), None),
     (re.compile("[a-z\u00df-\u00ff\u0430-\u045f\u03ac-\u03ce][\u00c2-\u00c6\u00ce-\u00d1\u00d8-\u00de]"), 0.8),
     (re.compile("[\u00a4\u00a6-\u00a9\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00bb-\u00be\u02c6\u02dc\u2020-\u2022\u2116\u2122\u2190-\u22ff\u201a-\u201e](?=\\w)|(?<=[^\\W\\d_])[\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u02c6\u02dc\u2020-\u2022\u2116\u2122\u201a-\u201e]"), 0.9),
-    (re.compile(f"(?=[\u00c2-\u00f4][\u0080-\u00bf])[{_LEAD}][{_TRAIL}]|[\u00c2-\u00c6\u00ce-\u00d1\u00d8\u00d9\u00e2-\u00e9\u00f0][\u0080-\u00bf\u2018-\u203a\u20ac\u2122\u02c6\u02dc\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192]"), 1.5),
+    (re.compile(f"(?=[\u00c2-\u00f4][\u0080-\u00bf])[{_LEAD}][{_TRAIL}]|[\u00c2-\u00c6\u00ce-\u00d1\u00d8\u00d9\u00e2\u00f0][\u0080-\u00bf\u2013\u2014\u2018-\u203a\u20ac\u2122\u02c6\u02dc\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192]|[\u00e3-\u00e9][\u0080-\u00bf\u2018\u201a-\u201c\u201e-\u2025\u2027-\u203a\u20ac\u2122\u02c6\u02dc\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192]"), 1.5),
     (re.compile("[\u0413\u0420\u0421\u0432\u0433\u0440\u041e\u041f][\u0080-\u00bf\u0402\u0403\u0404-\u0407\u0409-\u040f\u0452-\u0455\u0457-\u045f\u0490\u0491\u201a-\u203a\u20ac\u2122\u2116]"), 1.5),
     (re.compile("[\u0402\u0403\u0409-\u040c\u040f\u0452\u0453\u0459-\u045c\u045f\u0490\u0491]"), 0.8),
     (re.compile("(?<=[a-zA-Z\u00c0-\u024f\u0370-\u052f])[\u2e80-\u9fff\uac00-\ud7ff]|[\u2e80-\u9fff\uac00-\ud7ff](?=[a-zA-Z\u00c0-\u024f\u0370-\u052f])"), 1.5),
@@ -175,6 +175,7 @@ _COSTS = [
     (re.compile("[\u0305\u0309-\u030a\u030d-\u0322\u0329-\u036f]"), 0.4),
     (re.compile("[\u4e00-\u9fff]"), 0.06),
     (re.compile("[\u0180-\u0191\u0193-\u024f]"), 0.5),
+    (re.compile("[\u0390\u03b0]"), 0.5),
     (re.compile("\u03c2(?=\\w)|(?<=[\u03b1-\u03c9])[\u0386-\u038f]"), 0.8),
     (re.compile("\u0412[\u0408\u0490\u00a9\u00ab\u00b0\u00b7\u00bb\u0457\u045b\u00a7\u0406]"), 1.5),
     (re.compile("[\u3400-\u4dbf\uff61-\uff9f\u0590-\u08ff]"), 0.6),

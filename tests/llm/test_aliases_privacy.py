@@ -11,6 +11,8 @@ SAME = [
     ["Archibald Klenízemey", "Archie Klenízemey"],
     ["Marrowgate Allotment Society", "marrowgate allotment society", "The Marrowgate Allotment Society", "Marrowgate Allotment Society Ltd", "Allotment Society Marrowgate", "Marowgate Allotment Society"],
     ["Gofakevey Community Choir", "Gofakevey Comm. Choir"],
+    ["Bekilivan Veterinary Clinic", "Bekilivan Vets"], ["Drutuvemey Cycling Club Ltd", "Drutuvemey CC"], ["Vanimimez Swimming Association", "Vanimimez Swim Assoc."],
+    ["Napüsilberg Plumbing", "Napusilberg Plmbg"],
     ["José Daloseney"], ["Joseph Daloseney"], ["😂"], ["🌻"], ["+44 7700 900123", "+447700900123"], ["+44 7700 900124"], ["\u200b"], ["Victoria Lozivasan"], ["Michael Lozivasan"],
 ]
 
