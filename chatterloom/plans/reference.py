@@ -45,6 +45,14 @@ ASKED = """SELECT pair_id AS q_id, CASE WHEN pair_id % 60 = 0 THEN substring(pro
 FROM pairs WHERE pair_id % 20 = 0 AND prompt IS NOT NULL"""
 
 
+def asked_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set of retrieval: the same prompts, none of them cut."""
+    return table(spark, sf, "pairs").where("pair_id % 20 = 0 and prompt is not null").select(F.col("pair_id").alias("q_id"), F.col("prompt").alias("text"))
+
+
+ASKED_WHOLE = "SELECT pair_id AS q_id, prompt AS text FROM pairs WHERE pair_id % 20 = 0 AND prompt IS NOT NULL"
+
+
 # senders ------------------------------------------------------------------------------------
 
 
@@ -255,6 +263,17 @@ def bm25_best(spark, sf):
     return bm25.best(index(spark, sf), asked(spark, sf)).select("q_id", "pair_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_search_whole", f"WITH {S.INDEX}, asked AS ({ASKED_WHOLE}), w AS ({S.OWN}), {S.SCORED} SELECT q_id, rank::INT AS rank, pair_id, round(score, 6) AS score FROM ranked WHERE rank <= 5")
+def bm25_search_whole(spark, sf):
+    got = bm25.search(index(spark, sf), asked_whole(spark, sf), 5)
+    return got.select("q_id", "rank", "pair_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_best_whole", f"WITH {S.INDEX}, asked AS ({ASKED_WHOLE}), w AS ({S.OWN}), {S.SCORED} SELECT q_id, pair_id, round(score, 6) AS score FROM ranked WHERE rank = 1 AND score >= 0.21")
+def bm25_best_whole(spark, sf):
+    return bm25.best(index(spark, sf), asked_whole(spark, sf)).select("q_id", "pair_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "persona_reply",
     f"""WITH {S.INDEX}, {_TALK}, {_ctx_terms()}, {S.SCORED}, one AS (SELECT q_id, pair_id, score FROM ranked WHERE rank = 1)
