@@ -164,6 +164,12 @@ def double_encoding(spark, sf):
     return c.select("file", "seq", T.fix_double_encoding(written).alias("restored"))
 
 
+@query("double_encoding_stored")
+def double_encoding_stored(spark, sf):
+    """Every stored text read as the social exports' texts are read."""
+    return chat(spark, sf).select("file", "seq", T.fix_double_encoding(F.col("text")).alias("restored"))
+
+
 @query("apply_word", f"""SELECT pair_id, regexp_replace(prompt, '[A-Za-z0-9_''’]+$', '') || 'word ' AS extended,
     prompt || CASE WHEN prompt <> '' AND NOT regexp_matches(prompt, {S.q('[' + S.WS + ']$')}) THEN ' ' ELSE '' END || 'word ' AS appended FROM pairs WHERE prompt IS NOT NULL""")
 def apply_word(spark, sf):

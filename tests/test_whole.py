@@ -1,7 +1,35 @@
 """Queries that take every row, on small tables whose hard rows the SQL does not cover."""
 
+import datetime
+
 import __spark_entry__ as entry
 
+AT = datetime.datetime(2026, 6, 16, 9, 11, 25)
+
+
+def stored(spark, path, format_, rows):
+    """A data folder of one file whose messages are ``rows`` of ``(sender, text)``."""
+    made = [(i, "f", i, s, t, AT + datetime.timedelta(minutes=i)) for i, (s, t) in enumerate(rows, 1)]
+    spark.createDataFrame(made, "msg_id long, file string, msg_seq long, sender string, text string, at timestamp_ntz").write.parquet(f"{path}/messages.parquet")
+    spark.createDataFrame([(1, "f", format_)], "file_ord int, file string, format string").write.parquet(f"{path}/files.parquet")
+    return str(path)
+
+
+def reread(text):
+    """Brute force of the double encoding, in Python."""
+    try:
+        return text.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return text
+
+
+def test_double_encoding_of_every_stored_text(spark, tmp_path):
+    texts = ["plain", "café", "cafÃ©", "Ã\xa9tÃ©", "Ã©", "Ã© ‘", "ð\x9f\x98\x82 ok", "Ã", "Ã©Ã", "Ð¿Ñ\x80Ð¸Ð²ÐµÑ\x82", "í\xa0\x80", "À\x80", "hi 😂", "ÿ", "ça va Ã© la"]
+    sf = stored(spark, tmp_path, "meta", [("Ann", t) for t in texts])
+    got = {r.seq: r.restored for r in entry.queries()["double_encoding_stored"](spark, sf).collect()}
+    assert got == {i: reread(t) for i, t in enumerate(texts, 1)}
+    assert sum(got[i] != t for i, t in enumerate(texts, 1)) >= 5
+
 
 def test_retrieval_asks_whole_prompts(spark, tmp_path):
     rows = [(60, "acho que a canção está ótimo", "sim", "Ann"), (61, "nothing alike here", "no", "Ann"), (62, "ótimo está bem", "ok", "Ann")]
