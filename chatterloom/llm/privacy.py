@@ -145,3 +145,12 @@ def personal_found(messages: DataFrame, pairs: DataFrame) -> DataFrame:
         return hit.select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), F.explode("kinds").alias("kind"))
 
     return one(messages, "messages", "msg_id", "text").unionByName(one(pairs, "pairs", "pair_id", "reply"))
+
+
+def redacted(messages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``src, rec_id, clean``: every stored message and reply with placeholders, one row a record."""
+
+    def one(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
+        return scan(spread(df.select(key, text)), key, text).select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), "clean")
+
+    return one(messages, "messages", "msg_id", "text").unionByName(one(pairs, "pairs", "pair_id", "reply"))

@@ -87,3 +87,17 @@ def test_edges(spark):
     got = [(r.k, r.kinds, r.clean if r.clean is None or len(r.clean) < 9 else "…") for r in privacy.scan(df, "k", "t").collect()]
     assert sorted(got, key=str) == sorted([(1, [], None), (2, [], ""), (3, [], ""), (4, ["phone"], "…"), (4, ["phone"], "…")], key=str)
     assert privacy.scan(df.where("false"), "k", "t").count() == 0
+
+
+def test_redacted_has_messages_and_replies(spark, tmp_path):
+    from chatterloom.llm import catalog
+
+    m = [(1, "call me on 07700 900 813"), (2, None), (3, "the bus is late")]
+    p = [(1, "x", "mail me at ann.lee (at) quillmail (dot) test pls"), (2, "x", None), (3, "x", "")]
+    spark.createDataFrame(m, "msg_id long, text string").write.parquet(f"{tmp_path}/messages.parquet")
+    spark.createDataFrame(p, "pair_id long, prompt string, reply string").write.parquet(f"{tmp_path}/pairs.parquet")
+    got = {(r.src, r.rec_id): r.clean for r in catalog.QUERIES["p1_redacted"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("messages", 1): "call me on [PHONE]", ("messages", 2): None, ("messages", 3): "the bus is late",
+        ("pairs", 1): "mail me at [EMAIL] pls", ("pairs", 2): None, ("pairs", 3): "",
+    }
