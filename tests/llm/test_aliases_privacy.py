@@ -62,6 +62,20 @@ def test_chain_is_exact_and_skip_edges_come_close():
     assert np.abs(got - brute_marginals(e, trans * 0.3, [(0, 4)], 0.8)).max() < 0.03
 
 
+def test_evidence_passes_every_edge():
+    model = crf.Model({}, np.zeros((crf.L, crf.L)), 3.0)
+    doc = ["07700", "x"] * 9
+    e = np.zeros((len(doc), crf.L))
+    e[0, 2] = 8.0  # one mention is a phone number, eight repeats of it follow
+    e[1::2, 0] = 8.0
+    for kind in ("phone", "id_number", "address"):
+        got = crf._batch(model, [doc], [[kind, ""] * 9], [e])[0]
+        assert (got[0::2].argmax(axis=1) == 2).all()
+        assert np.all(np.diff(got[0::2, 2]) < 0) and got[-2, 2] > 1.05 * got[-2, 1]
+    still = crf._batch(model, [doc], [["email", ""] * 9], [e])[0]
+    assert np.allclose(still[2::2], 1 / crf.L)
+
+
 CASES = [
     ("is Renée coming", ["name"]),
     ("mail me at ann.lee (at) quillmail (dot) test pls", ["email"]),
