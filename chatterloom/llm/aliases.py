@@ -19,7 +19,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -68,6 +68,9 @@ NICKNAMES = {
 LOG_TYPO, LOG_INITIAL, LOG_NICK, LOG_DROP = math.log(0.02), math.log(0.1), math.log(0.1), math.log(0.05)
 #: Log odds against two frequent spellings one error apart being one entity by chance alone.
 LOG_CHANCE = math.log(1e-7)
+#: Two forms are two names where the rarer is surely used in over this share of the commoner's
+#: classes; how sure, in standard errors, so that few classes never decide it.
+COMMON, SURE = 0.3, 1.645
 
 _SPECIAL = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ı": "i", "æ": "ae", "Æ": "Ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d"})
 _TAIL = re.compile(r"(?i)\s*(?:[-–]\s*new (?:number|phone)|\((?:work|team|home|new|mobile|office|private|old)\)|\b(?:official|team)|\s\d{1,3})\s*$")
@@ -251,6 +254,13 @@ def _keys_udf(parts: pd.Series, initial: pd.Series) -> pd.Series:
 _keys_udf = _keys_udf.asNondeterministic()  # or the filter of the explode would run it twice
 
 
+def _at_least(share: Column, n: Column) -> Column:
+    """Lower end of the Wilson interval of a share of ``n`` counts."""
+    z2 = SURE * SURE
+    spread_ = F.sqrt(share * (1 - share) / n + F.lit(z2 / 4) / (n * n))
+    return (share + F.lit(z2 / 2) / n - F.lit(SURE) * spread_) / (1 + F.lit(z2) / n)
+
+
 def link(labels: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
     """``name, entity`` of every distinct label; labels of one entity share ``entity``.
 
@@ -279,7 +289,8 @@ def link(labels: DataFrame, name: str = "name", n: str = "n") -> DataFrame:
     use = classes.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("uses"))
     ux, uy = use.toDF("px", "ux"), use.toDF("py", "uy")
     scored = scored.join(ux, F.col("x") == F.col("px"), "left").join(uy, F.col("y") == F.col("py"), "left")
-    both = (F.least("ux", "uy") >= 4) & (F.least("ux", "uy") > 0.3 * F.greatest("ux", "uy"))
+    rare, total = F.least("ux", "uy"), F.col("ux") + F.col("uy")
+    both = _at_least(rare / total, total) > F.lit(COMMON / (1 + COMMON))
     scored = scored.where(~F.coalesce(both, F.lit(False)))
     posterior = F.log("fb") + F.col("ll")
     alone = F.log("fa") + F.lit(LOG_CHANCE)

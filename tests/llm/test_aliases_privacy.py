@@ -27,6 +27,15 @@ def test_links(spark):
     assert len({got[g[0]] for g in SAME}) == len(SAME)
 
 
+def test_clipped_names_go_by_shares(spark):
+    last = ["Drobeva", "Klenizemey", "Lozivasan", "Daloseney", "Stekivulund", "Vanimimez", "Napusilberg", "Tolverton"]
+    rows = [(f"Quorlinda {s}", 50) for s in last] + [(f"Quorlin {s}", 3) for s in last[:4]]  # half as common, by few classes
+    rows += [(f"{g} {s}", 5) for g in ("Zemaro", "Zemaroque") for s in last]  # as common as each other
+    got = {r.name: r.entity for r in aliases.link(spark.createDataFrame(rows, "name string, n long")).collect()}
+    assert all(got[f"Quorlin {s}"] == got[f"Quorlinda {s}"] for s in last[:4])
+    assert all(got[f"Zemaro {s}"] != got[f"Zemaroque {s}"] for s in last)
+
+
 def test_found_pairs_and_empty(spark):
     m = spark.createDataFrame([("Ann Lee", "x"), ("Lee, Ann", "x"), (None, "x"), ("", "x"), ("Ann Lee", "x")], "sender string, name string")
     p = spark.createDataFrame([("A. Lee",), (None,)], "who string")
