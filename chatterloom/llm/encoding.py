@@ -1,8 +1,7 @@
 """Text that was decoded with the wrong character encoding, found and restored.
 
 Each suspicious value starts a best-first search over operations (encode with one codec and
-decode with another, or undo an escape). A state is a text; states already seen are skipped
-by hash; the frontier is ordered by an implausibility cost of the characters, so the search
+decode with another, or undo an escape). A state is a text; states already seen are skipped; the frontier is ordered by an implausibility cost of the characters, so the search
 walks to the cheapest reachable text. A value is garbled when a cheaper text is reachable by
 enough, or when it holds replacement characters, which nothing restores.
 
@@ -29,7 +28,6 @@ from chatterloom.llm.lookalike import LOOKALIKE, strip_invisible
 SUSPICIOUS = r"[^\x{0}-\x{7f}]|&#?[A-Za-z0-9]{2,8};|\\u[0-9A-Fa-f]{4}|%[89A-Fa-f][0-9A-Fa-f]|=[C-Fc-f][0-9A-Fa-f]=[89ABab]"
 MARGIN = 1.0
 STEP = 0.01
-MAX_STATES = 60
 _ESCAPE = re.compile(r"&#?[A-Za-z0-9]{2,8};|\\u[0-9A-Fa-f]{4}|%[89A-Fa-f][0-9A-Fa-f]|=[C-Fc-f][0-9A-Fa-f]=[89ABab]")
 #: Codecs a text may wrongly have been read with, and those it may have been written in.
 READ_AS = ("latin-1", "cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "cp1254", "koi8_r", "cp866")
@@ -232,19 +230,19 @@ def restore(value: str) -> tuple[str, bool]:
     lossy = "\ufffd" in value
     if base - 0.02 * len(start) < 0.8 and not _ESCAPE.search(start):
         return value, lossy
-    seen, best, best_cost, n = {hash(start)}, start, base, 0
-    heap = [(base, 0, start)]
-    while heap and n < MAX_STATES:
-        c, depth, text = heapq.heappop(heap)
-        n += 1
+    # no operation lengthens a text and none is entered twice, so the frontier runs empty
+    seen, best, best_cost = {start}, start, base
+    heap = [(base, start)]
+    while heap:
+        c, text = heapq.heappop(heap)
         if c < best_cost - STEP:
             best, best_cost = text, c
-        if depth >= 4 or c > base + 4.0 or c - 0.02 * len(text) < 0.1:
+        if c - 0.02 * len(text) < 0.1:
             continue
         for t in neighbours(text):
-            if hash(t) not in seen:
-                seen.add(hash(t))
-                heapq.heappush(heap, (cost(t), depth + 1, t))
+            if t not in seen:
+                seen.add(t)
+                heapq.heappush(heap, (cost(t), t))
     if best is start or best_cost > base - MARGIN:
         return value, lossy
     return best, True

@@ -89,3 +89,12 @@ def test_pairs_against_brute_force(spark):
     got = sorted(map(tuple, lookalike.same_look_found(df).collect()))
     assert got == [("sender", 0, 60), ("text", 0, 1), ("text", 0, 2), ("text", 1, 2)]
     assert lookalike.same_look_found(df.where("false")).count() == 0
+
+
+def test_search_runs_until_nothing_is_left():
+    text = "café à la crème"
+    for times in (1, 4, 5, 7):
+        garbled = text
+        for _ in range(times):
+            garbled = garbled.encode("utf-8").decode("latin-1")
+        assert encoding.restore(garbled) == (text, True), times
