@@ -201,6 +201,15 @@ def clean_reply(spark, sf):
     return p.select("pair_id", T.clean_reply(said, "Ann and Lee").alias("clean"))
 
 
+@query("clean_reply_stored")
+def clean_reply_stored(spark, sf):
+    """Every stored reply wrapped as generators wrap them, those of several lines, in quotes or with
+    a name before them included."""
+    p = table(spark, sf, "pairs").where("reply is not null")
+    said = F.concat(F.lit('Ann: "'), "reply", F.lit('"'))
+    return p.select("pair_id", T.clean_reply(said, "Ann and Lee").alias("clean"))
+
+
 # retrieval ----------------------------------------------------------------------------------
 
 

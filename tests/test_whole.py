@@ -1,6 +1,7 @@
 """Queries that take every row, on small tables whose hard rows the SQL does not cover."""
 
 import datetime
+import re
 
 import __spark_entry__ as entry
 
@@ -37,3 +38,25 @@ def test_retrieval_asks_whole_prompts(spark, tmp_path):
     found = [(r.q_id, r.rank, r.pair_id) for r in entry.queries()["bm25_search_whole"](spark, str(tmp_path)).collect()]
     assert sorted(found) == [(60, 1, 60), (60, 2, 62)]  # 62 shares only words behind the twelfth character
     assert [(r.q_id, r.pair_id) for r in entry.queries()["bm25_best_whole"](spark, str(tmp_path)).collect()] == [(60, 60)]
+
+
+def cleaned(text):
+    """Brute force of the cleaning, in Python, for the identity ``Ann and Lee``."""
+    text = text.strip()
+    for _ in range(2):
+        text = re.sub(r"(?i)^(?:ann and lee|ann|lee|assistant)\s*:\s*", "", text).strip()
+        if len(text) > 1 and text[0] + text[-1] in ('""', "''", "“”", "‘’"):
+            text = text[1:-1].strip()
+    text = re.sub(r"(?i)^\((?:as|in the style of)[^)]*\)\s*", "", text)
+    return "\n".join([x for x in text.splitlines() if x.strip()][:6]).strip()
+
+
+def test_clean_reply_of_every_stored_reply(spark, tmp_path):
+    replies = [
+        "yes", "a\nb\r\n\nc", "1\n2\n3\n4\n5\n6\n7", "“quoted”", "'so'", "\"so\"", "Lee: ok", "assistant : \"ok\"", "(as Ann) sure",
+        "(sure)", "", "  ", "‘half", "Ann and Lee: 'a\n\nb'", "a\u2028b\x85c", "Announce: it", "x\"",
+    ]
+    rows = [(i, "x", r, "Ann") for i, r in enumerate([*replies, None])]
+    spark.createDataFrame(rows, "pair_id long, prompt string, reply string, who string").write.parquet(f"{tmp_path}/pairs.parquet")
+    got = {r.pair_id: r.clean for r in entry.queries()["clean_reply_stored"](spark, str(tmp_path)).collect()}
+    assert got == {i: cleaned(f'Ann: "{r}"') for i, r in enumerate(replies)}
