@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
@@ -45,23 +46,28 @@ SHAPES = [
         rf"(?i)(?:tel:)?(?:\+|\b00|\(|\b)\d[\d\s().\-‑‐]{{5,20}}\d(?:\s?(?:ext|x)\.?\s?\d{{1,5}})?|\b(?:(?:plus\s)?(?:{_DIGIT})\s){{6,}}(?:{_DIGIT})\b"
     )),
 ]
+#: What a text must hold for a shape to be in it.
+_HINTS = [re.compile(r"(?i)@|at\W"), re.compile(r"\d"), re.compile(r"\d"), re.compile(rf"(?i)\d|\b(?:{_DIGIT})\b")]
 
 
 def tokenize(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    hits = list(TOKEN.finditer(text))
+    hits = list(TOKEN.finditer(text.replace("’", "'")))
     return [m.group(0) for m in hits], [m.span() for m in hits]
 
 
 def mark(text: str, spans: list[tuple[int, int]]) -> list[str]:
     """For each token the shape it lies in, or ``""``."""
     out = [""] * len(spans)
-    if not re.search(r"[\d@]|\b(?:at|dot|zero)\b|[({\[]at", text, re.I):
-        return out
-    for kind, pattern in SHAPES:
+    starts: list[int] | None = None
+    for (kind, pattern), hint in zip(SHAPES, _HINTS):
+        if hint.search(text) is None:
+            continue
         for m in pattern.finditer(text):
-            for i, (s, e) in enumerate(spans):
-                if s >= m.start() and e <= m.end() and not out[i]:
-                    out[i] = kind
+            starts = starts or [s for s, _ in spans]
+            i = bisect_left(starts, m.start())
+            while i < len(spans) and spans[i][1] <= m.end():
+                out[i] = out[i] or kind
+                i += 1
     return out
 
 
@@ -74,22 +80,44 @@ def _plausible(kind: str, span: str) -> bool:
     if kind == "id_number":
         return digits >= 6
     if kind == "address":
-        return digits >= 1
+        return digits >= 1 and re.search(r"[^\W\d_]{2}", span) is not None
     return any(c.isalpha() for c in span) and not digits
 
 
-@lru_cache(maxsize=2)
-def model(path: str = WEIGHTS) -> Model:
-    return Model.load(path)
-
-
-def find(texts: list[str], path: str = WEIGHTS) -> list[list[tuple[str, int, int]]]:
-    """Spans ``(kind, start, end)`` of each text, in order."""
+def _exact(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
+    """A span with its ends where they must be: an address for mail is as long as its shape, a
+    street address holds the whole of its shape and no plain words before it, and no span
+    starts or ends with a blank, comma or dash."""
+    if kind in ("email", "address"):
+        pattern = SHAPES[0 if kind == "email" else 1][1]
+        for m in pattern.finditer(text, max(0, start - 200), end + 200):
+            if m.start() < end and m.end() > start:
+                if kind == "email":
+                    return m.span()
+                if not re.search(r"[\d,\n]", text[start : m.start()]):
+                    start = m.start()
+                end = max(end, m.end())
+                break
+    while start < end and (text[start].isspace() or text[start] in ",;:-–—!?." or text[start] == "(" and kind != "phone"):
+        start += 1
+    while end > start and (text[end - 1].isspace() or text[end - 1] in ",;:-–—!?"):
+        end -= 1
+    return start, end
+
+
+@lru_cache(maxsize=4)
+def model(path: str = WEIGHTS, skip: float = 1.0) -> Model:
+    made = Model.load(path)
+    return made if skip == 1.0 else made.with_skip(skip)
+
+
+def find(texts: list[str], path: str = WEIGHTS, skip: float = 1.0) -> list[list[tuple[str, int, int]]]:
+    """Spans ``(kind, start, end)`` of each text, in order; ``skip`` multiplies the skip potentials."""
     cut = [tokenize(t) for t in texts]
     docs = [c[0] for c in cut]
     marks = [mark(t, c[1]) for t, c in zip(texts, cut)]
     out = []
-    for text, (doc, spans), p in zip(texts, cut, marginals(model(path), docs, marks)):
+    for text, (doc, spans), p in zip(texts, cut, marginals(model(path, skip), docs, marks)):
         best, found = p.argmax(axis=1) if len(doc) else [], []
         i = 0
         while i < len(doc):
@@ -97,7 +125,7 @@ def find(texts: list[str], path: str = WEIGHTS) -> list[list[tuple[str, int, int
             while j + 1 < len(doc) and best[j + 1] == k:
                 j += 1
             if k:
-                s, e = spans[i][0], spans[j][1]
+                s, e = _exact(LABELS[k], text, spans[i][0], spans[j][1])
                 if _plausible(LABELS[k], text[s:e]):
                     found.append((LABELS[k], s, e))
             i = j + 1
