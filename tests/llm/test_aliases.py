@@ -42,3 +42,34 @@ def test_found_pairs_and_empty(spark):
 def test_typo():
     assert all(aliases.one_typo("stekivulund", x) for x in ("stekivulund", "stekivlund", "setkivulund", "stekivulumd", "stekivuulund"))
     assert not aliases.one_typo("stekivulund", "stkeivlund") and not aliases.one_typo("ab", "b")
+
+
+def entities(spark, rows):
+    return {r.name: r.entity for r in aliases.link(spark.createDataFrame(rows, "name string, n long")).collect()}
+
+
+def test_short_forms_and_organisations_nobody_listed(spark):
+    same = [
+        ("James Tolverhart", "Jim Tolverhart"), ("Stephen Quorl", "Steve Quorl"), ("David Brenmoor", "Dave Brenmoor"), ("Richard Halvesey", "Dick Halvesey"), ("John Pellivan", "Jack Pellivan"),
+        ("Robert van Dyke", "Bob van Dyke"), ("International Business Machines", "IBM"), ("Riverside Dental Practice", "Riverside Dental"), ("Kettleby Engineering", "Kettleby Engng"), ("Samuel Okonjo", "Sam Okonjo"),
+        ("Oakham Amateur Dramatics Guild", "Oakham ADG"), ("Vexley Photographic Institute", "Vexley Photo. Inst."),
+    ]
+    got = entities(spark, [(x, 40 if i == 0 else 6) for pair in same for i, x in enumerate(pair)])
+    for a, b in same:
+        assert got[a] == got[b], (a, b)
+    assert len(set(got.values())) == len(same)
+
+
+def test_names_of_their_own_stay_apart_unless_the_data_carry_them(spark):
+    apart = [("Liam Carter", "William Carter"), ("Susan Hall", "Susannah Hall"), ("Vera Rossi", "Veronica Rossi")]
+    got = entities(spark, [(x, 50) for pair in apart for x in pair])
+    assert all(got[a] != got[b] for a, b in apart)
+    # where nearly everybody called so has the full name as well, it is a short form
+    last = ["Drobeva", "Klenizemey", "Lozivasan", "Daloseney", "Stekivulund", "Vanimimez", "Napusilberg", "Tolverton"]
+    got = entities(spark, [(f"{g} {s}", 50 if g == "William" else 9) for g in ("William", "Liam") for s in last])
+    assert all(got[f"Liam {s}"] == got[f"William {s}"] for s in last)
+
+
+def test_a_label_without_letters_never_meets_the_parts_of_another(spark):
+    got = entities(spark, [("a b", 3), ("A B", 2), ("b", 1), ("!!", 1), ("?!", 2), ("The", 1)])
+    assert got["!!"] != got["?!"] and got["a b"] == got["A B"] and got["The"] not in (got["b"], got["!!"])
