@@ -44,7 +44,7 @@ SHORT_FORMS = {
     "gosia": "malgorzata", "malgosia": "malgorzata", "aga": "agnieszka", "agnes": "agnieszka", "kasia": "katarzyna", "luki": "lukasz", "olu": "oluwaseun oluwaseyi", "dima": "dimitrios dmitri dmitry", "dimi": "dimitrios", "mitsos": "dimitrios", "dimitris": "dimitrios", "slava": "vladislav vyacheslav", "vladik": "vladislav",
     "volodya": "vladimir", "misha": "mikhail", "kolya": "nikolai", "vanya": "ivan", "tanya": "tatiana", "pepe": "jose", "paco": "francisco", "pancho": "francisco", "nacho": "ignacio", "iggy": "ignacio", "lupita": "guadalupe", "lola": "dolores", "quique": "enrique", "kiko": "francisco yukiko",
     "joca": "joao", "ze": "jose", "zezinho": "jose", "sao": "conceicao", "nao": "noemie naomi", "mimi": "noemie miriam", "hans": "johannes", "hannes": "johannes", "uschi": "ursula", "ursi": "ursula", "jupp": "joseph josef", "sepp": "joseph josef", "joe": "joseph", "joey": "joseph",
-    "memo": "mehmet", "ibo": "ibrahim", "ibs": "ibrahim", "baldie": "archibald", "thea": "theodora dorothea", "theo": "theodore theodora", "leo": "leonardo leonard", "leon": "leonardo leonard", "dom": "dominic", "nic": "nicholas dominic", "nico": "nicholas", "nick": "nicholas", "nicky": "nicholas nicola", "zo": "zoe", "clo": "chloe",
+    "tom": "thomas", "tommy": "thomas", "tori": "victoria", "dina": "konstantina", "della": "adela cordelia", "jo": "johannes joanna josephine joseph", "memo": "mehmet", "mem": "mehmet", "ibo": "ibrahim", "ibs": "ibrahim", "baldie": "archibald", "thea": "theodora dorothea", "theo": "theodore theodora", "leo": "leonardo leonard", "leon": "leonardo leonard", "dom": "dominic", "nic": "nicholas dominic", "nico": "nicholas", "nick": "nicholas", "nicky": "nicholas nicola", "zo": "zoe", "clo": "chloe",
 }
 #: Names that are short for another and as often somebody's whole name.
 OWN_NAMES = set("liam susan agnes greta leo leon nancy molly sally daisy jack harry stacey eliza theo thea mitch vera hans".split())
