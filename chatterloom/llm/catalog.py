@@ -83,11 +83,13 @@ def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p9_pack")
 def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts in containers of each ``pack`` capacity; the first line of a transcript bears no loss."""
+    """Texts in containers of each ``pack`` capacity; the last line of a transcript is its answer
+    and bears loss, what stands before it does not; other texts bear loss as a whole."""
     docs = table(spark, sf, "documents")
     caps = [(r.limit_id, r.max_tokens) for r in table(spark, sf, "limits").where("purpose = 'pack'").collect()]
-    first = F.when(F.col("kind") == "transcript", F.substring_index("text", "\n", 1)).otherwise(F.lit(""))
-    sized = spread(docs.select("doc_id", "text", "kind")).select("doc_id", tokens.counts_of([F.col("text"), first]).alias("n"))
+    answer = F.substring_index("text", "\n", -1)
+    asked = F.when((F.col("kind") == "transcript") & F.contains("text", F.lit("\n")), F.substring("text", F.lit(1), F.length("text") - F.length(answer))).otherwise(F.lit(""))
+    sized = spread(docs.select("doc_id", "text", "kind")).select("doc_id", tokens.counts_of([F.col("text"), asked]).alias("n"))
     whole, free = F.col("n")[0].cast("bigint"), F.col("n")[1].cast("bigint")
     items = sized.select("doc_id", whole.alias("n_tokens"), F.greatest(whole - free, F.lit(0).cast("bigint")).alias("n_loss"))
     return packing.pack(items, caps, docs.count())

@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 8192
-#: Segments a container may hold, per 1,024 tokens of capacity, and the share of its tokens that may bear loss.
-SEGMENTS_PER_1024 = 64
-LOSS_SHARE = 1.0
+#: Segments a container may hold, per 1,024 tokens of capacity, and the share of its tokens that may
+#: bear loss. A container opened by an item over such a limit by itself has not that limit.
+SEGMENTS_PER_1024 = 16
+LOSS_SHARE = 0.75
 
-SCHEMA = "limit_id int, container string, doc_id long, piece int, start long, n_tokens long"
+SCHEMA = "limit_id int, container string, doc_id long, piece int, start long, n_tokens long, n_loss long"
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Container number of each item; ``sizes`` is (n, d), every item within ``limits``.
+    """Container number of each item; ``sizes`` is (n, d), every item within ``limits[0]``.
 
     Deterministic: ties go to the earlier item. Items of one size are handled as one kind, so
-    a step costs the number of kinds, not of items.
+    a step costs the number of kinds, not of items. An item over one of the other limits by
+    itself opens a container without that limit, so that it can be filled all the same.
     """
     out = np.full(len(sizes), -1, dtype=np.int64)
     if not len(sizes):
@@ -48,10 +50,29 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
         cols = [np.ascontiguousarray(kinds[keep, d]) for d in dims]
         return keep, cols, [c / limits[d] for d, c in enumerate(cols)], [c.max(initial=0) for c in cols], np.zeros(len(keep))
 
+    def take(k: int) -> None:
+        nonlocal remaining, dead
+        kind = ids[k]
+        out[order[next_of[kind]]] = box
+        next_of[kind] += 1
+        left[kind] -= 1
+        remaining -= 1
+        if not left[kind]:
+            gone[k] = -10.0
+            dead += 1
+
     ids, cols, scaled, most, gone = live()
-    box, remaining, dead = 0, len(sizes), 0
+    box, remaining, dead, first_pass = 0, len(sizes), 0, True
     while remaining:
         room = [int(x) for x in limits]
+        if first_pass:
+            over = (gone == 0) & np.any([cols[d] > room[d] for d in dims[1:]], axis=0)
+            first_pass = bool(over.any())
+        if first_pass:
+            k = int(over.argmax())
+            take(k)
+            # the limit it is over is lifted from its container, down to what tokens are left
+            room = [max(0, r - int(c[k])) if c[k] <= r else max(0, room[0] - int(cols[0][k])) for r, c in zip(room, cols)]
         while True:
             # kinds are sorted by their first size: only a stretch from the start can fit
             p = int(np.searchsorted(cols[0], room[0], side="right"))
@@ -65,16 +86,9 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
             k = int(score.argmax())
             if score[k] < 0:
                 break
-            kind = ids[k]
-            out[order[next_of[kind]]] = box
-            next_of[kind] += 1
-            left[kind] -= 1
-            remaining -= 1
+            take(k)
             for d in dims:
                 room[d] -= int(cols[d][k])
-            if not left[kind]:
-                gone[k] = -10.0
-                dead += 1
         box += 1
         if dead > 64 and 4 * dead > len(ids):
             ids, cols, scaled, most, gone = live()
@@ -82,12 +96,20 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacities: list[tuple[int, int]], n_items: int) -> DataFrame:
-    """``limit_id, container, doc_id, piece, start, n_tokens`` for each capacity.
+def limits_of(cap: int, loss_share: float = LOSS_SHARE, segments_per_1024: int = SEGMENTS_PER_1024) -> np.ndarray:
+    """Limits of a container on tokens, loss-bearing tokens and segments."""
+    return np.array([cap, max(1, int(cap * loss_share)), max(1, cap * segments_per_1024 // 1024)], dtype=np.int64)
+
+
+def pack(
+    items: DataFrame, capacities: list[tuple[int, int]], n_items: int, loss_share: float = LOSS_SHARE, segments_per_1024: int = SEGMENTS_PER_1024
+) -> DataFrame:
+    """``limit_id, container, doc_id, piece, start, n_tokens, n_loss`` for each capacity.
 
     ``items`` has ``doc_id, n_tokens, n_loss``; ``capacities`` lists ``(limit_id, max_tokens)``
     and is the size of the limits table; ``n_items`` sizes the groups. Every token is in
-    exactly one row; items without tokens are in none. Repeated keys are separate items.
+    exactly one row; items without tokens are in none. Repeated keys are separate items. The last
+    ``n_loss`` tokens of an item bear loss (all, where it is null), and so do their pieces.
     """
     if not capacities:
         return items.sparkSession.createDataFrame([], SCHEMA)
@@ -101,7 +123,9 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], n_items: int) -> D
     size = F.least(F.col("n_tokens") - F.col("piece") * F.col("cap"), F.col("cap"))
     rest = each.select(
         "limit_id", "cap", "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("start"), size.alias("n_tokens"),
-        F.least(F.col("n_loss"), size).alias("n_loss"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"),
+        # the first tokens of an item bear no loss, so a piece bears what lies behind them
+        F.greatest(F.lit(0).cast("bigint"), F.least(size, size - (F.col("n_tokens") - F.col("n_loss") - F.col("piece") * F.col("cap")))).alias("n_loss"),
+        F.pmod(F.xxhash64("doc_id", F.when(size == F.col("cap"), F.floor(F.col("piece") / GROUP))), F.lit(groups)).alias("g"),
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,11 +134,11 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]], n_items: int) -> D
         full = (pdf["n_tokens"] == cap).to_numpy()
         part = pdf[~full]
         sizes = np.stack([part["n_tokens"], part["n_loss"], np.ones(len(part), dtype=np.int64)], axis=1).astype(np.int64)
-        limits = np.array([cap, max(1, int(cap * LOSS_SHARE)), max(1, cap * SEGMENTS_PER_1024 // 1024)], dtype=np.int64)
+        limits = limits_of(cap, loss_share, segments_per_1024)
         box = np.empty(len(pdf), dtype=np.int64)
         box[~full] = fill(sizes, limits)
         box[full] = np.arange(full.sum()) + (box[~full].max(initial=-1) + 1)
         pdf["container"] = f"{g}-" + pd.Series(box).astype(str)
-        return pdf[["limit_id", "container", "doc_id", "piece", "start", "n_tokens"]]
+        return pdf[["limit_id", "container", "doc_id", "piece", "start", "n_tokens", "n_loss"]]
 
     return rest.groupBy("limit_id", "g").applyInPandas(run, SCHEMA)

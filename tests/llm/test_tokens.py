@@ -83,3 +83,45 @@ def test_every_token_once(spark):
         once = part.where("doc_id > 9").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
         assert {r.doc_id: r.n for r in once} == {r[0]: r[1] for r in rows if r[0] > 9 and r[1]}
     assert packing.pack(df.where("false"), [(1, 512)], 0).count() == 0
+
+
+def decreasing(sizes, limits):
+    """First fit in order of decreasing tokens."""
+    room, out = [], np.empty(len(sizes), dtype=int)
+    for i in np.argsort(-sizes[:, 0], kind="stable"):
+        b = next((b for b, r in enumerate(room) if (sizes[i] <= r).all()), None)
+        if b is None:
+            b, room = len(room), [*room, limits.copy()]
+        room[b] = room[b] - sizes[i]
+        out[i] = b
+    return out
+
+
+def test_each_limit_binds_and_dot_products_beat_decreasing_order():
+    rng = np.random.default_rng(8)
+    tokens_ = np.concatenate([rng.integers(60, 300, 900), rng.integers(4, 60, 600)])
+    loss = np.where(rng.random(1500) < 0.5, tokens_, tokens_ // 10)  # answers, and prompts with short answers
+    sizes = np.stack([tokens_, loss, np.ones(1500, dtype=int)], 1)
+    limits = packing.limits_of(512, 0.55, 16)
+    totals = []
+    for box in (packing.fill(sizes, limits), decreasing(sizes, limits)):
+        total = np.zeros((box.max() + 1, 3), dtype=int)
+        np.add.at(total, box, sizes)
+        assert (total <= limits).all()
+        totals.append(total)
+    by_product, by_size = totals
+    assert len(by_product) <= 0.95 * len(by_size)
+    smallest = sizes.min(axis=0)
+    assert all((by_product[:, d] + smallest[d] > limits[d]).any() for d in range(3))
+
+
+def test_an_item_over_another_limit_alone_is_packed_all_the_same():
+    sizes = np.array([[500, 500, 1], [10, 10, 1], [300, 20, 1]])
+    box = packing.fill(sizes, packing.limits_of(512))
+    assert box[0] == box[1] != box[2]
+
+
+def test_loss_of_a_split_item_goes_to_its_pieces(spark):
+    df = spark.createDataFrame([(1, 1300, 400), (2, 600, 600), (3, 100, 0), (4, 50, None)], "doc_id long, n_tokens long, n_loss long")
+    got = {(r.doc_id, r.piece): (r.n_tokens, r.n_loss) for r in packing.pack(df, [(1, 512)], 4).collect()}
+    assert got == {(1, 0): (512, 0), (1, 1): (512, 124), (1, 2): (276, 276), (2, 0): (512, 512), (2, 1): (88, 88), (3, 0): (100, 0), (4, 0): (50, 50)}
