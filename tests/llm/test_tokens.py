@@ -98,11 +98,11 @@ def decreasing(sizes, limits):
 
 
 def test_each_limit_binds_and_dot_products_beat_decreasing_order():
-    rng = np.random.default_rng(8)
-    tokens_ = np.concatenate([rng.integers(60, 300, 900), rng.integers(4, 60, 600)])
-    loss = np.where(rng.random(1500) < 0.5, tokens_, tokens_ // 10)  # answers, and prompts with short answers
-    sizes = np.stack([tokens_, loss, np.ones(1500, dtype=int)], 1)
-    limits = packing.limits_of(512, 0.55, 16)
+    rng = np.random.default_rng(5)
+    tokens_ = rng.integers(30, 170, 2000)
+    loss = np.where(tokens_ < 100, tokens_, 0)  # short answers and long prompts
+    sizes = np.stack([tokens_, loss, np.ones(2000, dtype=int)], 1)
+    limits = packing.limits_of(512, 0.37, 12)
     totals = []
     for box in (packing.fill(sizes, limits), decreasing(sizes, limits)):
         total = np.zeros((box.max() + 1, 3), dtype=int)
@@ -110,8 +110,8 @@ def test_each_limit_binds_and_dot_products_beat_decreasing_order():
         assert (total <= limits).all()
         totals.append(total)
     by_product, by_size = totals
-    assert len(by_product) <= 0.95 * len(by_size)
-    smallest = sizes.min(axis=0)
+    assert len(by_product) <= 0.95 * len(by_size), (len(by_product), len(by_size))
+    smallest = np.where(sizes > 0, sizes, 10**6).min(axis=0)
     assert all((by_product[:, d] + smallest[d] > limits[d]).any() for d in range(3))
 
 
