@@ -63,8 +63,10 @@ def p5_sessions_devices(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p7_found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    made = to_instants(table(spark, sf, "raw_messages"), table(spark, sf, "files"))
-    return made.where("zone_from in ('stamp', 'file')").select("raw_id", "utc_us")
+    """Stamps that fix an instant. A stamp without zone in a file without one is no case here, so
+    nothing is estimated; that is ``p7_estimated``."""
+    made = to_instants(table(spark, sf, "raw_messages"), table(spark, sf, "files"), estimate=False)
+    return made.where("utc_us is not null").select("raw_id", "utc_us")
 
 
 @query("p7_estimated")
@@ -72,3 +74,24 @@ def p7_estimated(spark: SparkSession, sf: str) -> DataFrame:
     """Stamps that fix an instant only by the zone estimated for their export."""
     made = to_instants(table(spark, sf, "raw_messages"), table(spark, sf, "files"))
     return made.where(F.col("zone_from") == "estimated").select("raw_id", "utc_us")
+
+
+@query("p7_estimate_measured")
+def p7_estimate_measured(spark: SparkSession, sf: str) -> DataFrame:
+    """The estimate where the answer is known: the zones of all files that state one are hidden.
+
+    ``stamps`` without zone in such files that also have a zoned stamp to align with, how many of
+    them were ``estimated``, and for how many the instant is ``right`` to the microsecond.
+    """
+    raw, files = table(spark, sf, "raw_messages"), table(spark, sf, "files").where("zone is not null")
+    raw = raw.join(files.select("file"), "file", "left_semi")
+    true = to_instants(raw, files, estimate=False).select("raw_id", F.col("utc_us").alias("true_us"), F.col("zone_from").alias("source"))
+    hidden = files.withColumn("zone", F.lit(None).cast("string"))
+    guess = to_instants(raw, hidden).select(F.col("raw_id").alias("gid"), F.col("utc_us").alias("guess_us"), "zone_from")
+    both = true.join(guess, F.col("raw_id") == F.col("gid")).join(raw.select(F.col("raw_id").alias("rid"), "file"), F.col("raw_id") == F.col("rid"))
+    anchored = both.where("source = 'stamp'").select(F.col("file").alias("afile")).distinct()
+    asked = both.where("source = 'file'").join(anchored, F.col("file") == F.col("afile"), "left_semi")
+    return asked.agg(
+        F.count("*").alias("stamps"), F.count_if(F.col("zone_from") == "estimated").alias("estimated"),
+        F.count_if((F.col("zone_from") == "estimated") & (F.col("guess_us") == F.col("true_us"))).alias("right"),
+    )
