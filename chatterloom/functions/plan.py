@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,17 +16,22 @@ def bind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, which a cluster
+    names. Where it is unset and the master is local (tests, a single machine) it is a folder in
+    the warehouse; a cluster without one is an error, as a machine's own folder is no place."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None)
+    if named is None and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``, which a cluster names and all
-    executors share; where it is unset (tests, a single machine) a folder in the warehouse is.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in :func:`shared_folder`."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -31,6 +31,11 @@ class Model:
         """The same model with its tables kept, for several batches of queries."""
         return Model(*(t.persist() for t in (self.counts, self.totals, self.unigrams, self.surface)))
 
+    def dropped(self) -> None:
+        """No longer kept."""
+        for t in (self.counts, self.totals, self.unigrams, self.surface):
+            t.unpersist()
+
 
 def training_lists(messages: DataFrame) -> DataFrame:
     """``file_ord, seq, raw, low``: token lists of messages that have any."""
@@ -108,7 +113,9 @@ def distribution(model: Model, states: DataFrame) -> DataFrame:
     follow = seen.join(model.counts, ["n", "ctx"]).select("q_id", F.col("nxt").alias("word"), "n", (F.col("cnt") / F.col("total")).alias("share"))
     # sixty rows at most, whatever the corpus
     common = states.select("q_id").crossJoin(F.broadcast(top_unigrams(model)))
-    heads = model.unigrams.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("len"))
+    # only heads somebody asks for are joined; lengths of prefixes are as many as the longest has letters
+    lengths = F.broadcast(states.where("prefix <> ''").select(F.length("prefix").alias("len")).distinct().agg(F.collect_set("len").alias("lens")))
+    heads = model.unigrams.crossJoin(lengths).select("word", F.explode(F.filter("lens", lambda n: n <= F.length("word"))).alias("len"))
     heads = heads.select("word", F.expr("substring(word, 1, len)").alias("head"))
     begun = states.where("prefix <> ''").join(heads, F.col("prefix") == F.col("head")).select("q_id", "word")
     candidates = common.unionByName(begun).unionByName(follow.select("q_id", "word")).distinct()
@@ -177,14 +184,17 @@ def ranked(model: Model, states: DataFrame, k: int) -> DataFrame:
 def suggest(model: Model, queries: DataFrame, k: int = 3) -> DataFrame:
     """``q_id, mode, words``: suggestions for ``q_id, text`` in display spelling; ``extend``
     completes the half-typed word, ``append`` follows a finished one."""
-    states = checkpointed(resolve(model, queries))
-    top = ranked(model, states, k).join(model.surface, F.col("word") == F.col("lower"), "left")
+    kept = model.cached()  # both distributions read it; lost parts are computed again
+    states = checkpointed(resolve(kept, queries))
+    top = ranked(kept, states, k).join(kept.surface, F.col("word") == F.col("lower"), "left")
     words = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("surface", "word").alias("w")))), lambda x: x["w"])
     got = top.groupBy("q_id").agg(words.alias("words"))
-    return states.join(got, "q_id", "left").select(
+    done = checkpointed(states.join(got, "q_id", "left").select(
         "q_id", F.when(F.col("prefix") == "", "append").otherwise("extend").alias("mode"),
         F.coalesce("words", F.array().cast("array<string>")).alias("words"),
-    )
+    ))
+    kept.dropped()
+    return done
 
 
 def complete(model: Model, queries: DataFrame, max_words: int = 8) -> DataFrame:
@@ -235,8 +245,7 @@ def complete(model: Model, queries: DataFrame, max_words: int = 8) -> DataFrame:
     spaced = (F.col("text") != "") & ~F.col("text").rlike(f"[{WS}]$") & ~F.substring(whole, 1, 1).isin(*CLOSING)
     text = F.when(F.size("made") == 0, "").when(F.col("prefix") != "", grown).otherwise(F.when(spaced, F.concat(F.lit(" "), whole)).otherwise(whole))
     done = checkpointed(shown.select("q_id", text.alias("completion")))
-    for t in (kept.counts, kept.totals, kept.unigrams, kept.surface):
-        t.unpersist()
+    kept.dropped()
     return done
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
-from chatterloom.functions.chars import utrim
+from chatterloom.functions.chars import CLOSING, OPENING, utrim
+from chatterloom.functions.plan import shared_folder
 from chatterloom.operators import bm25, ngram, persona, profile, senders, turns
 from chatterloom.plans import sqltext as S
 from chatterloom.plans.catalog import query, table
@@ -131,12 +132,15 @@ def train_tokens(spark, sf):
     return _tokens(spark, sf, lambda c: T.lowered(T.train_tokens(c)))
 
 
-@query("index_tokens", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string({S.index_tokens('text')}, ' ') END AS toks FROM documents")
+_CUT = f"WITH cut AS MATERIALIZED (SELECT doc_id, {S.index_words('text')} AS w FROM documents)"
+
+
+@query("index_tokens", f"{_CUT} SELECT doc_id, CASE WHEN w IS NOT NULL THEN array_to_string({S.index_of('w')}, ' ') END AS toks FROM cut")
 def index_tokens(spark, sf):
     return _tokens(spark, sf, T.index_tokens)
 
 
-@query("query_tokens", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string({S.query_tokens('text')}, ' ') END AS toks FROM documents")
+@query("query_tokens", f"{_CUT} SELECT doc_id, CASE WHEN w IS NOT NULL THEN array_to_string({S.query_of('w')}, ' ') END AS toks FROM cut")
 def query_tokens(spark, sf):
     return _tokens(spark, sf, T.query_tokens)
 
@@ -151,7 +155,11 @@ def emoji_and_words(spark, sf):
     return d.select("doc_id", F.size(F.filter(t, T.has_emoji)).cast("bigint").alias("n_emoji"), F.size(T.words_of(t)).cast("bigint").alias("n_words"))
 
 
-@query("detokenize")
+_JOINED = f"CASE WHEN list_contains({S.words(CLOSING)}, tok) OR list_contains({S.words(OPENING)}, right(acc, 1)) THEN acc || tok ELSE acc || ' ' || tok END"
+
+
+@query("detokenize", f"""WITH {S.CHAT}, cut AS (SELECT file, seq, {S.tokens('text')} AS toks FROM chat)
+    SELECT file, seq, CASE WHEN len(toks) = 0 THEN '' ELSE list_reduce(toks, lambda acc, tok: {_JOINED}) END AS text FROM cut""")
 def detokenize(spark, sf):
     return chat(spark, sf).select("file", "seq", T.detokenize(T.tokens(F.col("text"))).alias("text"))
 
@@ -522,6 +530,9 @@ def _text_ready(spark, sf, kind: str) -> DataFrame:
     return c.where(~F.col("text").rlike("(?m)" + text_export._SYSTEM.replace("^", "^[\\x{200e}]*")))
 
 
+_SECOND = "date_trunc('second', \"at\")"
+
+
 @query("parse_ios", _text_sql("whatsapp", "date_trunc('second', \"at\")"))
 def parse_ios(spark, sf):
     made = text_export.parse_text(render.ios_text(_text_ready(spark, sf, "whatsapp")))
@@ -565,7 +576,7 @@ def parse_imessage(spark, sf):
     return _html(spark, sf, "imessage")
 
 
-@query("parse_text_in_html")
+@query("parse_text_in_html", f"SELECT *, 'text in html' AS format FROM ({_text_sql('whatsapp', _SECOND)})")
 def parse_text_in_html(spark, sf):
     """Text exports saved as web pages."""
     c = render.ios_text(_text_ready(spark, sf, "whatsapp"))
@@ -574,11 +585,14 @@ def parse_text_in_html(spark, sf):
     return html_export.parse_html(page).select("file", "seq", "sender", "text", "at", "format")
 
 
-@query("export_formats")
+_KINDS = {"telegram": "", "discord": "", "meta": " AND sender <> text", "imessage": ""}
+
+
+@query("export_formats", " UNION ALL ".join(f"SELECT file, format, count(*) AS cnt FROM ({_html_sql(k, extra=x)}) GROUP BY ALL" for k, x in _KINDS.items()))
 def export_formats(spark, sf):
     """What each rendered export is recognised as."""
     p = plain(spark, sf)
-    parts = [getattr(render, k)(_of(p, spark, sf, k)) for k in ("telegram", "discord", "meta", "imessage")]
+    parts = [getattr(render, k)(_of(p, spark, sf, k)) for k in _KINDS]
     return html_export.formats(senders.union_files(parts)).select("file", "format", "cnt")
 
 
@@ -615,9 +629,22 @@ def sticky_stamps(spark, sf):
 def stream_activity(spark, sf):
     """Hourly counts through the streaming engine, everything there is at once."""
     s = ingest.stream_table(spark, f"{sf}/events.parquet")
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    name = "stream_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    folder = f"{where.rstrip('/')}/{name}" if where else tempfile.mkdtemp(prefix="chatterloom_")
-    run = ingest.run_once(ingest.per_window(s, "event_type", "ts"), name, folder)
-    run.awaitTermination()
-    return spark.table(name).select("kind", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "n_events")
+    folder = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    ingest.to_folder(ingest.per_window(s, "event_type", "ts"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    latest = ingest.latest(spark, f"{folder}/out", ["kind", "start_at"])
+    return latest.select("kind", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "n_events")
+
+
+@query(
+    "stream_sessions",
+    """
+    WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id AS "user", min(ts) AS start_at, max(ts) AS end_at, count(*) AS n_events FROM s GROUP BY user_id, n
+    """,
+)
+def stream_sessions(spark, sf):
+    """Sessions by event time through the batch engine's form of the streaming operator."""
+    made = ingest.activity(table(spark, sf, "events"), "user_id", "ts")
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return made.select("user", at("start_at"), at("end_at"), "n_events")

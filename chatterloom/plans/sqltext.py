@@ -45,18 +45,28 @@ def index_words(c: str) -> str:
 
 
 def bigrams(w: str) -> str:
-    return f"(CASE WHEN len({w}) > 1 THEN list_transform(range(1, len({w})), lambda i: {w}[i] || '_' || {w}[i + 1]) ELSE [] END)"
+    """Neighbours joined; zipped, as a lambda that reads the list by place copies it each time."""
+    return f"list_transform(list_zip({w}[:-2], {w}[2:], true), lambda x: x[1] || '_' || x[2])"
 
 
 def index_tokens(c: str) -> str:
     return f"list_concat({index_words(c)}, {bigrams(index_words(c))})"
 
 
+def index_of(w: str) -> str:
+    """As :func:`index_tokens`, of words already cut."""
+    return f"list_concat({w}, {bigrams(w)})"
+
+
 STOP, PHRASE_STOP = words(QUERY_STOPWORDS), words(PHRASE_STOPWORDS)
 
 
 def query_tokens(c: str) -> str:
-    w = index_words(c)
+    return query_of(index_words(c))
+
+
+def query_of(w: str) -> str:
+    """As :func:`query_tokens`, of words already cut."""
     keep = f"list_filter({w}, lambda x: NOT list_contains({STOP}, x))"
     two = f"list_filter({bigrams(w)}, lambda b: NOT (list_contains({STOP}, split_part(b, '_', 1)) AND list_contains({STOP}, split_part(b, '_', 2))))"
     return f"list_concat({keep}, {two})"

@@ -36,10 +36,21 @@ def per_window(events: DataFrame, kind: str, at: str, width: str = "1 hour", lat
     return w.select("kind", F.col("w.start").alias("start_at"), "n_events")
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Everything there is now, through the streaming engine into a table in memory; for tests
-    and small results."""
-    return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_folder(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Everything there is now, through the streaming engine into a folder. Each batch writes what
+    it changed into a folder of its own and writes the same again when it is repeated."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What :func:`to_folder` wrote last for each key."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 def to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -10,7 +10,6 @@ import pytest
 import __spark_entry__ as entry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-HEAVY = {"complete"}
 
 
 def plain(v):
@@ -35,10 +34,8 @@ def test_same_as_sql(spark, sf, name):
     assert rows(entry.queries()[name](spark, sf).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(entry.catalog.QUERIES) - set(entry.oracle_sql())))
 def test_runs(spark, sf, name):
-    if name.startswith("p") and name[1].isdigit() and entry.llm_catalog and name in entry.llm_catalog.QUERIES:
-        pytest.skip("tested with its subpackage")
     assert entry.queries()[name](spark, sf).count() >= 0
 
 
