@@ -26,16 +26,20 @@ class Model:
     totals: DataFrame  # n, ctx, total, kinds, lam
     unigrams: DataFrame  # word, cnt, p, first
     surface: DataFrame  # lower, surface
+    lists: DataFrame  # token lists the others are counted from
 
     def cached(self) -> Model:
         """The same model with its tables kept, for several batches of queries."""
-        return Model(*(t.persist() for t in (self.counts, self.totals, self.unigrams, self.surface)))
+        return Model(*(t.persist() for t in self._tables()))
 
     def dropped(self) -> None:
         """No longer kept."""
-        for t in (self.counts, self.totals, self.unigrams, self.surface):
+        for t in self._tables():
             t.unpersist()
 
+    def _tables(self) -> tuple[DataFrame, ...]:
+        return self.counts, self.totals, self.unigrams, self.surface, self.lists
+
 
 def training_lists(messages: DataFrame) -> DataFrame:
     """``file_ord, seq, raw, low``: token lists of messages that have any."""
@@ -43,37 +47,41 @@ def training_lists(messages: DataFrame) -> DataFrame:
     return raw.withColumn("low", lowered(F.col("raw")))
 
 
+def _lists(messages: DataFrame, lists: DataFrame | None) -> DataFrame:
+    return training_lists(messages) if lists is None else lists
+
+
 def context_key(padded: Column, n: int, end: Column) -> Column:
     """The ``n`` tokens before position ``end`` (from 0), as one string; tokens hold no blanks."""
     return F.array_join(F.slice(padded, end - n + 1, n), " ")
 
 
-def ngram_counts(messages: DataFrame) -> DataFrame:
+def ngram_counts(messages: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """``n, ctx, nxt, cnt``: how often ``nxt`` followed each context of ``n`` tokens.
 
     Four start marks stand before a message and one end mark after it. Partial aggregation
     combines the start contexts, which every message holds, before the shuffle.
     """
     padded = F.concat(F.array_repeat(F.lit(START), ORDER), F.col("low"), F.array(F.lit(END)))
-    p = training_lists(messages).select(padded.alias("p"))
+    p = _lists(messages, lists).select(padded.alias("p"))
     at = p.select("p", F.explode(F.sequence(F.lit(ORDER), F.size("p") - 1)).alias("i"))
     keys = F.array(*[F.struct(F.lit(n).alias("n"), context_key(F.col("p"), n, F.col("i")).alias("ctx")) for n in range(1, ORDER + 1)])
     each = at.select(F.explode(keys).alias("k"), F.get("p", F.col("i")).alias("nxt"))
     return each.select("k.n", "k.ctx", "nxt").groupBy("n", "ctx", "nxt").agg(F.count("*").alias("cnt"))
 
 
-def unigrams(messages: DataFrame) -> DataFrame:
+def unigrams(messages: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """``word, cnt, p, first``: counts with the end mark, share of all, first appearance."""
     low = F.concat(F.col("low"), F.array(F.lit(END)))
-    each = training_lists(messages).select("file_ord", "seq", F.posexplode(low).alias("i", "word"))
+    each = _lists(messages, lists).select("file_ord", "seq", F.posexplode(low).alias("i", "word"))
     per = each.groupBy("word").agg(F.count("*").alias("cnt"), F.min(F.struct("file_ord", "seq", "i")).alias("first"))
     total = F.broadcast(per.agg(F.sum("cnt").alias("total")))
     return per.crossJoin(total).select("word", "cnt", (F.col("cnt") / F.col("total")).alias("p"), "first")
 
 
-def surface_forms(messages: DataFrame) -> DataFrame:
+def surface_forms(messages: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """``lower, surface``: the most common spelling of each token, ties to the first seen."""
-    each = training_lists(messages).select("file_ord", "seq", F.posexplode("raw").alias("i", "tok"))
+    each = _lists(messages, lists).select("file_ord", "seq", F.posexplode("raw").alias("i", "tok"))
     per = each.groupBy(F.lower("tok").alias("lower"), "tok").agg(F.count("*").alias("cnt"), F.min(F.struct("file_ord", "seq", "i")).alias("first"))
     best = F.min_by("tok", F.struct((-F.col("cnt")).alias("c"), F.col("first")))
     return per.groupBy("lower").agg(best.alias("surface"))
@@ -81,10 +89,11 @@ def surface_forms(messages: DataFrame) -> DataFrame:
 
 def build(messages: DataFrame) -> Model:
     """Model of one identity's messages (``file_ord, seq, text``)."""
-    counts = ngram_counts(messages)
+    lists = training_lists(messages)
+    counts = ngram_counts(messages, lists)
     totals = counts.groupBy("n", "ctx").agg(F.sum("cnt").alias("total"), F.count("*").alias("kinds"))
     totals = totals.withColumn("lam", F.col("total") / (F.col("total") + F.lit(DISCOUNT) * F.col("kinds")))
-    return Model(counts, totals, unigrams(messages), surface_forms(messages))
+    return Model(counts, totals, unigrams(messages, lists), surface_forms(messages, lists), lists)
 
 
 def stats(messages: DataFrame, enough: int = 300) -> DataFrame:

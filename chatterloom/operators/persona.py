@@ -16,12 +16,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from chatterloom.functions.chars import WS, utrim
 from chatterloom.functions.text import clean_reply, first_chars, strip_echo
-from chatterloom.operators import bm25
+from chatterloom.operators import bm25, ngram
 
 EXAMPLES, HISTORY, CONTEXT, COMPLETION_WORDS, ANCHORS = 5, 12, 4, 12, 14
-#: Generators in order of preference (fixed values).
-PREFERRED = ["qwen2.5:7b", "llama3.1:8b", "mistral:7b", "qwen2.5:3b", "llama3.2:3b", "phi3:mini", "gemma2:2b", "llama3.2"]
-PREFERRED_FAST = ["gemma2:2b", "qwen2.5:3b", "llama3.2:3b", "phi3:mini"]
 Generator = Callable[[list[dict[str, str]]], str]
 
 
@@ -142,3 +139,34 @@ def completion_source(text: Column, prefix: Column, has_generator: bool, enabled
         return F.lit("disabled")
     quiet = utrim(F.coalesce(text, F.lit(""))) == ""
     return F.when(quiet | F.lit(not has_generator), "none").when(prefix != "", "midword").otherwise("model")
+
+
+def complete(queries: DataFrame, model: ngram.Model, profile: DataFrame, identity: str, generator: Generator) -> DataFrame:
+    """``q_id, completion, source`` of ``q_id, text``: the prompt of :func:`completion_prompt` through
+    the generator and :func:`finish_completion`.
+
+    ``source`` says why there is none: ``none`` for a blank text, ``midword`` for a half-typed word
+    (the predictor's work), ``failed`` where the generator gave nothing. ``profile`` is one row with
+    ``samples`` and ``median``.
+    """
+    state = ngram.resolve(model, queries).select("q_id", "text", "prefix")
+    state = state.withColumn("source", completion_source(F.col("text"), F.col("prefix"), True))
+    p = F.broadcast(profile.select("samples", "median"))
+    system = completion_prompt(identity, F.col("samples"), F.col("median"))
+    one = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))
+    live = state.where("source = 'model'").crossJoin(p).select("q_id", "text", F.concat(one("system", system), one("user", F.col("text"))).alias("turns"))
+    said = generate(live, "turns", "said", generator).select("q_id", finish_completion(F.col("text"), F.col("said"), identity, F.lit(False)).alias("made"))
+    both = state.join(said, "q_id", "left")
+    made = F.coalesce("made", F.lit(""))
+    source = F.when((F.col("source") == "model") & (made == ""), "failed").otherwise(F.col("source"))
+    return both.select("q_id", made.alias("completion"), source.alias("source"))
+
+
+def status(generator: Generator | None) -> str:
+    """``ready``, ``failing`` or ``absent``: what a generator makes of one short message."""
+    if generator is None:
+        return "absent"
+    try:
+        return "ready" if generator([{"role": "user", "content": "hi"}]) else "failing"
+    except Exception:  # any failure of a caller's generator means it cannot answer
+        return "failing"

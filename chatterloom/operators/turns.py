@@ -90,3 +90,25 @@ def reply_pairs(made: DataFrame, me: Iterable[str]) -> DataFrame:
         & (F.length("reply") <= MAX_REPLY_CHARS) & soon
         & (F.size(all_matches(F.lower("prompt"), INDEX_WORD)) >= MIN_PROMPT_WORDS)
     ).select("file_ord", "file", "turn", F.substring("prompt", 1, MAX_TURN_CHARS).alias("prompt"), "reply", "who")
+
+
+def numbered(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``pair_id``: 1, 2, ... in order of file and turn, without gaps or repeats.
+
+    Pairs are counted per block of turns; one row a block is read in order, and numbers inside a
+    block by a window of at most ``BLOCK`` rows.
+    """
+    keys = ["file_ord", "file"]
+    p = pairs.withColumn("__b", F.floor(F.col("turn") / BLOCK))
+    counts = p.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    # blocks before it: those of its file in order, and all of the files before it
+    inside = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__n")
+    files = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    before = files.select(*[F.col(k).alias("s_" + k) for k in keys], (F.sum("__all").over(Window.orderBy(*keys)) - F.col("__all")).alias("__before"))
+    starts = counts.withColumn("__inside", inside).join(before, (F.col("file_ord") == F.col("s_file_ord")) & (F.col("file") == F.col("s_file")))
+    starts = starts.select(*[F.col(k).alias("t_" + k) for k in keys], F.col("__b").alias("t_b"), (F.col("__before") + F.col("__inside")).alias("__start"))
+    on = (F.col("file_ord") == F.col("t_file_ord")) & (F.col("file") == F.col("t_file")) & (F.col("__b") == F.col("t_b"))
+    local = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("turn"))
+    return p.withColumn("__i", local).join(starts, on).withColumn("pair_id", F.col("__start") + F.col("__i")).drop(
+        "__b", "__i", "__start", "t_file_ord", "t_file", "t_b"
+    )
