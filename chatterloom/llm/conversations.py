@@ -55,6 +55,11 @@ def _owned(messages: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.where(hit).select("ofile", F.col("sender").alias("osender")).distinct()
 
 
+def _key(sender: str) -> Column:
+    """A label as a number; a null one is as an empty one."""
+    return F.xxhash64(F.coalesce(sender, F.lit("")))
+
+
 # A transition is (has_user, has_owner, answered): whether the stretch holds a written text of
 # someone else, one of the owner, and one of the owner after one of someone else.
 _IDENTITY = "named_struct('u', false, 'a', false, 'r', false)"
@@ -65,26 +70,26 @@ def _fold() -> Column:
     return F.expr(f"aggregate(array_sort(collect_list(named_struct('k', k, 't', t))), {_IDENTITY}, {_COMPOSE})")
 
 
-def judge(messages: DataFrame, files: DataFrame) -> DataFrame:
+def judge(messages: DataFrame, files: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """``file, reason`` of every conversation; ``reason`` is null for one to keep.
 
     The first that holds: ``empty`` (no written text), ``broken`` (a null or empty sender, a
     sequence number with differing senders or texts, numbers that are not 1 to n), ``no_reply``
     (no written text of the owner after one of someone else; always so where the file has no
     owner). Rows stored again change nothing. Rows with a null file belong to no
-    conversation; a null ``msg_seq`` makes a conversation broken.
+    conversation; a null ``msg_seq`` makes a conversation broken. Senders and texts are compared
+    by 64-bit hashes, so that rows are aggregated by hashing and no text is shuffled.
     """
     m = messages.where("file is not null").select("file", "msg_seq", "sender", "text", written(F.col("text")).alias("w"))
     # one row per sequence number; a null text differs from an empty one
-    sender, text = F.coalesce("sender", F.lit("")), F.coalesce(F.concat(F.lit("+"), "text"), F.lit("-"))
+    m = m.select("file", "msg_seq", "w", _key("sender").alias("hs"), F.xxhash64(F.col("text").isNull(), "text").alias("ht"), (F.coalesce("sender", F.lit("")) == "").alias("nobody"))
     at = m.groupBy("file", "msg_seq").agg(
-        F.max("sender").alias("sender"), F.max("w").alias("w"),
-        (F.min(sender) != F.max(sender)).alias("differ_s"), (F.min(text) != F.max(text)).alias("differ_t"),
-        F.max((sender == "").cast("int")).alias("nobody"),
+        F.max("hs").alias("hs"), F.max("w").alias("w"), (F.min("hs") != F.max("hs")).alias("differ_s"), (F.min("ht") != F.max("ht")).alias("differ_t"),
+        F.max(F.col("nobody").cast("int")).alias("nobody"),
     )
-    own = _owned(m, files)
-    seen = at.join(own, (F.col("file") == F.col("ofile")) & (F.col("sender") == F.col("osender")), "left")
-    mine = F.col("osender").isNotNull()
+    own = (_owned(messages, files) if own is None else own).select("ofile", _key("osender").alias("os")).distinct()
+    seen = at.join(own, (F.col("file") == F.col("ofile")) & (F.col("hs") == F.col("os")), "left")
+    mine = F.col("os").isNotNull()
     symbol = F.struct((F.col("w") & ~mine).alias("u"), (F.col("w") & mine).alias("a"), F.lit(False).alias("r"))
     level = seen.select(
         "file", F.coalesce("msg_seq", F.lit(-1)).alias("k"), symbol.alias("t"),
@@ -119,17 +124,16 @@ def rebuild(messages: DataFrame, files: DataFrame) -> DataFrame:
     ``assistant``, everyone else the ``user``. Numbers come from counts per block, so no
     window spans a conversation.
     """
-    keep = judge(messages, files).where("reason is null").select(F.col("file").alias("kfile"))
-    m = messages.where(written(F.col("text"))).groupBy("file", "msg_seq").agg(
-        F.min(F.struct("msg_id", "sender", "text", "at")).alias("m")
-    )
-    m = m.join(keep, F.col("file") == F.col("kfile"), "left_semi").withColumn("block", F.floor(F.col("msg_seq") / BLOCK))
+    own = _owned(messages, files)
+    keep = judge(messages, files, own).where("reason is null").select(F.col("file").alias("kfile"))
+    # dropped conversations go first: only kept texts are shuffled, and each once
+    m = messages.where(written(F.col("text"))).join(keep, F.col("file") == F.col("kfile"), "left_semi")
+    m = m.groupBy("file", "msg_seq").agg(F.min(F.struct("msg_id", "sender", "text", "at")).alias("m")).withColumn("block", F.floor(F.col("msg_seq") / BLOCK))
     counts = m.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offset = counts.select(F.col("file").alias("bfile"), F.col("block").alias("bblock"), F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("msg_seq"))
     rows = m.withColumn("i", inside).join(offset, (F.col("file") == F.col("bfile")) & (F.col("block") == F.col("bblock")))
-    own = _owned(messages, files)
     rows = rows.select("file", (F.col("before") + F.col("i")).alias("turn"), "m.sender", "m.text", "m.at")
     rows = rows.join(own, (F.col("file") == F.col("ofile")) & (F.col("sender") == F.col("osender")), "left")
     role = F.when(F.col("osender").isNotNull(), "assistant").otherwise("user")
