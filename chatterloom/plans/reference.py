@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.functions import text as T
-from chatterloom.functions.chars import CLOSING, OPENING, utrim
+from chatterloom.functions.chars import CLOSING, LINE_BREAK, OPENING, utrim
 from chatterloom.functions.plan import shared_folder
 from chatterloom.operators import bm25, ngram, persona, profile, senders, turns
 from chatterloom.plans import sqltext as S
@@ -164,16 +164,12 @@ def detokenize(spark, sf):
     return chat(spark, sf).select("file", "seq", T.detokenize(T.tokens(F.col("text"))).alias("text"))
 
 
-@query("double_encoding", f"WITH {S.CHAT} SELECT file, seq, text AS restored FROM chat WHERE NOT regexp_matches(text, '[\\x{{80}}-\\x{{ff}}]')")
-def double_encoding(spark, sf):
-    """Texts written as the social exports write them, and read back; plain ones survive exactly."""
-    c = chat(spark, sf).where(~F.col("text").rlike("[\\x{80}-\\x{ff}]"))
-    written = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return c.select("file", "seq", T.fix_double_encoding(written).alias("restored"))
+_BYTES = "unhex(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: printf('%02x', unicode(c))), ''))"
 
 
-@query("double_encoding_stored")
-def double_encoding_stored(spark, sf):
+@query("double_encoding", f"""WITH {S.CHAT} SELECT file, seq, CASE WHEN regexp_matches(text, '[\\x{{80}}-\\x{{ff}}]') AND NOT regexp_matches(text, '[^\\x{{0}}-\\x{{ff}}]')
+    THEN coalesce(TRY(decode({_BYTES})), text) ELSE text END AS restored FROM chat""")
+def double_encoding(spark, sf):
     """Every stored text read as the social exports' texts are read."""
     return chat(spark, sf).select("file", "seq", T.fix_double_encoding(F.col("text")).alias("restored"))
 
@@ -198,19 +194,20 @@ def strip_echo(spark, sf):
     return p.select("pair_id", T.strip_echo(F.col("p"), F.concat("p", F.lit(" "), "r")).alias("rest"))
 
 
-@query("clean_reply", f"""SELECT pair_id, {S.trim('reply')} AS clean FROM pairs WHERE reply IS NOT NULL AND NOT contains(reply, chr(10)) AND NOT contains(reply, chr(13))
-    AND {S.trim('reply')} <> '' AND NOT regexp_matches({S.trim('reply')}, '^[''"“‘(]') AND NOT regexp_matches({S.trim('reply')}, '(?i)^(ann|lee|ann and lee|assistant)[{S.WS}]*:')""")
-def clean_reply(spark, sf):
-    """One-line replies wrapped as generators wrap them; what comes back is the reply."""
-    r = utrim(F.col("reply"))
-    p = table(spark, sf, "pairs").select("pair_id", "reply", r.alias("r")).where("r <> '' and not contains(reply, '\\n') and not contains(reply, '\\r')")
-    p = p.where(~F.col("r").rlike("^['\"“‘(]") & ~F.col("r").rlike(f"(?i)^(ann|lee|ann and lee|assistant)[{S.WS}]*:"))
-    said = F.concat(F.lit('Ann: "'), "r", F.lit('"'))
-    return p.select("pair_id", T.clean_reply(said, "Ann and Lee").alias("clean"))
+def _unwrapped(frm: str, to: str) -> str:
+    """CTE that takes a name before a reply away, and then quotes around it."""
+    named = S.trim(f"regexp_replace(t, {S.q(f'(?i)^(?:ann and lee|ann|lee|assistant)[{S.WS}]*:[{S.WS}]*')}, '')")
+    quoted = "length(t) > 1 AND left(t, 1) || right(t, 1) IN (chr(34) || chr(34), chr(39) || chr(39), '“”', '‘’')"
+    return f"{to} AS (SELECT pair_id, CASE WHEN {quoted} THEN {S.trim('substring(t, 2, length(t) - 2)')} ELSE t END AS t FROM (SELECT pair_id, {named} AS t FROM {frm}))"
 
 
-@query("clean_reply_stored")
-def clean_reply_stored(spark, sf):
+_NOTE = S.q(f"(?i)^\\((?:as|in the style of)[^)]*\\)[{S.WS}]*")
+_LINES = f"list_filter(regexp_split_to_array(regexp_replace(t, {_NOTE}, ''), {S.q(LINE_BREAK)}), lambda l: {S.trim('l')} <> '')[:6]"
+_WRAPPED = f"""a AS (SELECT pair_id, {S.trim("'Ann: " + chr(34) + "' || reply || '" + chr(34) + "'")} AS t FROM pairs WHERE reply IS NOT NULL)"""
+
+
+@query("clean_reply", f"WITH {_WRAPPED}, {_unwrapped('a', 'b')}, {_unwrapped('b', 'c')} SELECT pair_id, {S.trim(f'array_to_string({_LINES}, chr(10))')} AS clean FROM c")
+def clean_reply(spark, sf):
     """Every stored reply wrapped as generators wrap them, those of several lines, in quotes or with
     a name before them included."""
     p = table(spark, sf, "pairs").where("reply is not null")

@@ -1,4 +1,4 @@
-"""Queries that take every row, on small tables whose hard rows the SQL does not cover."""
+"""Queries that take every row, on small tables with the rows that are hard."""
 
 import datetime
 import re
@@ -27,7 +27,7 @@ def reread(text):
 def test_double_encoding_of_every_stored_text(spark, tmp_path):
     texts = ["plain", "café", "cafÃ©", "Ã\xa9tÃ©", "Ã©", "Ã© ‘", "ð\x9f\x98\x82 ok", "Ã", "Ã©Ã", "Ð¿Ñ\x80Ð¸Ð²ÐµÑ\x82", "í\xa0\x80", "À\x80", "hi 😂", "ÿ", "ça va Ã© la"]
     sf = stored(spark, tmp_path, "meta", [("Ann", t) for t in texts])
-    got = {r.seq: r.restored for r in entry.queries()["double_encoding_stored"](spark, sf).collect()}
+    got = {r.seq: r.restored for r in entry.queries()["double_encoding"](spark, sf).collect()}
     assert got == {i: reread(t) for i, t in enumerate(texts, 1)}
     assert sum(got[i] != t for i, t in enumerate(texts, 1)) >= 5
 
@@ -58,5 +58,5 @@ def test_clean_reply_of_every_stored_reply(spark, tmp_path):
     ]
     rows = [(i, "x", r, "Ann") for i, r in enumerate([*replies, None])]
     spark.createDataFrame(rows, "pair_id long, prompt string, reply string, who string").write.parquet(f"{tmp_path}/pairs.parquet")
-    got = {r.pair_id: r.clean for r in entry.queries()["clean_reply_stored"](spark, str(tmp_path)).collect()}
+    got = {r.pair_id: r.clean for r in entry.queries()["clean_reply"](spark, str(tmp_path)).collect()}
     assert got == {i: cleaned(f'Ann: "{r}"') for i, r in enumerate(replies)}
