@@ -20,9 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session, which a cluster
     names. Where it is unset and the master is local (tests, a single machine) it is a folder in
     the warehouse; a cluster without one is an error, as a machine's own folder is no place."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None)
-    if named is None and not conf.get("spark.master", "").startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir names no shared folder")
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
