@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from chatterloom.sources.text_export import NOISE
+
 #: Letters of other scripts and the Latin letters they look like (fixed values).
 LOOKALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
@@ -45,12 +47,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _ASCII = r"^[\x{0a}\x{20}-\x{7e}]*$"
 _JVM_IGN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{2800}\x{fff0}-\x{fff8}\x{e0000}-\x{e0fff}]"
 _JVM_WS = r"\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Bodies that exporters write for what is not text (fixed values).
-PLACEHOLDERS = [
-    "media omitted", "image omitted", "video omitted", "gif omitted", "sticker omitted", "audio omitted",
-    "document omitted", "contact card omitted", "this message was deleted", "you deleted this message",
-    "missed voice call", "missed video call", "null", "attached",
-]
+#: Bodies that exporters write for what is not text, without brackets.
+PLACEHOLDERS = [n.strip("<>") for n in NOISE]
 
 
 def strip_invisible(text: str) -> str:
