@@ -76,6 +76,44 @@ def test_bm25_worked_numbers(spark):
     assert row.avgdl == 5 and row.max_idf == pytest.approx(math.log(6))
 
 
+def brute_search(docs, asked, k):
+    """Every document scored for every query, in Python; words only, all of them topics."""
+    grams = lambda t: (w := t.split()) + [f"{a}_{b}" for a, b in zip(w, w[1:])]
+    held = {i: Counter(grams(t)) for i, t in docs.items()}
+    df, avgdl, out = Counter(t for c in held.values() for t in c), sum(sum(c.values()) for c in held.values()) / len(held), set()
+    idf = lambda d: math.log(1 + (len(held) - d + 0.5) / (d + 0.5))
+    for q, text in asked.items():
+        weight = {t: idf(df[t]) * (0.5 if "_" in t else 1) for t in set(grams(text))}
+        norm = {i: 0.25 + 0.75 * sum(c.values()) / avgdl for i, c in held.items()}
+        s = {i: sum(w * min(c[t] * 2.5 / (c[t] + 1.5 * norm[i]), 1) for t, w in weight.items() if t in c) / sum(weight.values()) for i, c in held.items()}
+        best = sorted((-round(x, 9), i) for i, x in s.items() if x > 0)[:k]
+        out |= {(q, r, i, round(-x, 6)) for r, (x, i) in enumerate(best, 1)}
+    return out
+
+
+def shuffled_rows(spark):
+    none, gate = spark.sparkContext._gateway.jvm.java.util.ArrayList(), spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gate.new_array(gate.jvm.double, 0), none)
+    return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("least, most, blocks", [(16_384, 131_072, 1), (40, 131_072, 8), (16_384, 100, 4)])
+def test_search_is_whole_and_moves_no_matches(spark, monkeypatch, least, most, blocks):
+    monkeypatch.setattr(bm25, "LEAST_DOCS", least)
+    monkeypatch.setattr(bm25, "MOST_DOCS", most)
+    assert bm25.blocks_of(400, 4) == blocks
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.expovariate(0.15))}"
+    docs = {i: " ".join(["hot", *(word() for _ in range(rng.randint(0, 9)))]) for i in rng.sample(range(9000), 400)}
+    asked = {q: "hot " + " ".join([word() for _ in range(4)] + ["unseen"] * (q % 3 == 0)) for q in range(120)}
+    ix = bm25.build(spark.createDataFrame([(i, t, "", "x") for i, t in docs.items()], PAIRS))
+    before = shuffled_rows(spark)
+    got = bm25.search(ix, spark.createDataFrame(list(asked.items()), "q_id long, text string"), 5).collect()
+    assert {(r.q_id, r.rank, r.pair_id, round(r.score, 6)) for r in got} == brute_search(docs, asked, 5)
+    moved = sum(n for i, n in shuffled_rows(spark).items() if i not in before)
+    assert 0 < moved < 400 * 120 / 3  # every document holds a word of every query
+
+
 def test_earlier_turns_count_less(spark):
     q = spark.createDataFrame([(1, "zebra", ["oldest", "lion", "tiger", "bear", "zebra wolf"])], "q_id long, text string, context array<string>")
     w = {r.term: r.w for r in bm25.weights(q).collect()}
