@@ -3,6 +3,9 @@
 import datetime
 import re
 
+import pytest
+from test_conversation import shuffled_rows
+
 import __spark_entry__ as entry
 
 AT = datetime.datetime(2026, 6, 16, 9, 11, 25)
@@ -40,6 +43,17 @@ def test_retrieval_asks_whole_prompts(spark, tmp_path):
     assert [(r.q_id, r.pair_id) for r in entry.queries()["bm25_best_whole"](spark, str(tmp_path)).collect()] == [(60, 60)]
 
 
+@pytest.mark.parametrize("name", ["persona_reply"])
+def test_matches_are_not_moved(spark, tmp_path, name):
+    sf = stored(spark, tmp_path, "meta", [(entry.reference.ME, "hello there my friend")])
+    rows = [(i, f"hot w{i % 37} x{i}", f"r{i}", "Ann") for i in range(2000)]
+    spark.createDataFrame(rows, "pair_id long, prompt string, reply string, who string").write.parquet(f"{sf}/pairs.parquet")
+    before = shuffled_rows(spark)
+    asked = {r.q_id for r in entry.queries()[name](spark, sf).collect()}
+    assert asked == set(range(0, 2000, 20))
+    assert 0 < sum(n for i, n in shuffled_rows(spark).items() if i not in before) < 100 * 2000 / 4  # each prompt asked for holds a word of all
+
+
 def cleaned(text):
     """Brute force of the cleaning, in Python, for the identity ``Ann and Lee``."""
     text = text.strip()
