@@ -43,7 +43,7 @@ def test_retrieval_asks_whole_prompts(spark, tmp_path):
     assert [(r.q_id, r.pair_id) for r in entry.queries()["bm25_best_whole"](spark, str(tmp_path)).collect()] == [(60, 60)]
 
 
-@pytest.mark.parametrize("name", ["persona_reply", "bm25_context", "persona_generator", "bm25_search_whole", "bm25_search", "bm25_best_whole"])
+@pytest.mark.parametrize("name", ["persona_reply", "bm25_context", "persona_generator", "bm25_search_whole", "bm25_search", "bm25_best_whole", "bm25_best"])
 def test_matches_are_not_moved(spark, tmp_path, name):
     sf = stored(spark, tmp_path, "meta", [(entry.reference.ME, "hello there my friend")])
     rows = [(i, f"hot w{i % 37} x{i}", f"r{i}", "Ann") for i in range(2000)]
